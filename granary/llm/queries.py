@@ -56,6 +56,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLES: dict[str, str] = {
