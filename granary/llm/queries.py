@@ -62,6 +62,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op9_pieces": op9_pieces,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
