@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,28 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """work(rows) for each group of rows with equal keys; rows are tuples of df's other columns, sorted by `order`.
+
+    Groups come as sorted runs in a stream, so a task holds one group at a time, and many small groups cost little.
+    Callers bound the size of a group.
+    """
+    others = [c for c in df.columns if c not in keys]
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for p in parts:
+            out: list[tuple] = []
+            for k, row in zip(zip(*(p[c] for c in keys)), zip(*(p[c] for c in others))):
+                if k != key:
+                    if held:
+                        out.extend(work(held))
+                    key, held = k, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(work(held) if held else [], columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
