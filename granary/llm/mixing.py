@@ -89,23 +89,13 @@ def _fold(units: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), start, step)
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: list[float] = (3, 1, 2),
-    total_share: float = 1.5,
-    max_repeat: float = 2.0,
-    seed: int = 17,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
+def _words(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
 
-    size: words of the text, 0 for null. Sources by code point, null last, have the weights in turn. A document of no
-    words, and a source of none, is taken 0 times. A null source is a source like any other. Rows that repeat an id,
-    source and size are rounded as one unit and come back as so many rows. An empty table gives an empty result.
-    """
-    sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+
+def _units(docs: DataFrame, weights: list[float], total_share: float, max_repeat: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(source, id, size, mult, copies) of each unit, and (_s, source_size, target) of each source."""
+    sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("bigint").alias("id"), _words(text_col).alias("size"))
     units = kept_table(sized.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("mult")), "mix-units")
     targets = kept_table(source_targets(units.select("source", (F.col("size") * F.col("mult")).alias("size")), list(weights), total_share, max_repeat), "mix-targets")
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")  # broadcast by Spark itself where its size allows
@@ -133,8 +123,45 @@ def mix_sources(
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
+    return rows, t
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: list[float] = (3, 1, 2),
+    total_share: float = 1.5,
+    max_repeat: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
+
+    size: words of the text, 0 for null. Sources by code point, null last, have the weights in turn. A document of no
+    words, and a source of none, is taken 0 times. A null source is a source like any other. Rows that repeat an id,
+    source and size are rounded as one unit and come back as so many rows. An empty table gives an empty result.
+    """
+    rows, t = _units(docs, list(weights), total_share, max_repeat, seed, id_col, text_col, source_col)
     return (
         rows.join(t, F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "mult")))
         .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies")
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: list[float] = (3, 1, 2),
+    total_share: float = 1.5,
+    max_repeat: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: the rows of docs, all columns as they were, each as often as it is taken (0, 1, 2 ... times)."""
+    rows, _ = _units(docs, list(weights), total_share, max_repeat, seed, id_col, text_col, source_col)
+    taken = rows.filter("copies > 0").select(F.col("source").alias("_ms"), F.col("id").alias("_mi"), F.col("size").alias("_mz"), F.col("copies").alias("_mc"))
+    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_ms")) & (_words(text_col) == F.col("_mz"))
+    return docs.join(kept_table(taken, "mix-taken"), on).withColumn("_mn", F.explode(F.sequence(F.lit(1), "_mc"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -181,3 +181,13 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
     out = able.join(verdict, "sig").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
     alone = meta.filter("n = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(alone)
+
+
+def one_of_each_component(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they were, without those whose component has a smaller id.
+
+    Rows without an id, and texts without words, stay.
+    """
+    found = ngram_join(docs, num, den, words, id_col, text_col)
+    gone = kept_table(found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
