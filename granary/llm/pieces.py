@@ -27,67 +27,86 @@ from pyspark.sql import functions as F
 from granary.llm.common import whole
 
 SPACE = "▁"
-KEEP_LENGTH, KEEP_COUNT = 40, 800_000
+KEEP_LENGTH, KEEP_COUNT = 24, 700_000
+#: Texts encoded at a time, which bounds the lists of ids that are alive together.
+SOME = 200
 #: A byte piece costs as much as a very rare piece, so bytes spell only what nothing else does.
 BYTE_COST = 20.0
 
 
 class Stream:
-    """Viterbi over characters that arrive one by one; committed ids gather in `ids`."""
+    """Viterbi over text that arrives in parts; committed ids gather in `ids`.
+
+    Held are the text since the last commit, and for each boundary in it the best sum and where its last piece starts.
+    """
 
     def __init__(self, codec: PieceCodec):
         self.codec = codec
         self.ids: list[int] = []
-        self.tail = ""  # the last characters, as many as the longest piece has
-        self.at = 0  # boundary after the last character
-        self.best = {0: 0.0}  # boundary: best sum, for the boundaries in the window
-        self.back: dict[int, tuple[int, tuple[int, ...]]] = {}  # boundary: where its last piece starts, that piece's ids
+        self.text = ""
+        self.best, self.back = [0.0], [0]
+
+    def feed(self, part: str) -> None:
+        c = self.codec
+        for i in range(0, len(part), 4 * c.longest):
+            self._advance(part[i : i + 4 * c.longest])
+            if len(self.text) > 4 * c.longest:
+                self._commit()
 
-    def push(self, char: str) -> None:
+    def _advance(self, part: str) -> None:
         c = self.codec
-        self.tail = (self.tail + char)[-c.longest :]
-        self.at += 1
-        at, tail, best = self.at, self.tail, self.best
-        top, link = -1e300, None
-        for k in range(1, len(tail) + 1):
-            end = tail[-k:]
-            if end not in c.endings:
-                break
-            if (piece := c.scored.get(end)) is not None and best[at - k] + piece[0] > top:
-                top, link = best[at - k] + piece[0], (at - k, piece[1])
-        if char not in c.scored:
-            ids = c.spelt(char)
-            if best[at - 1] - BYTE_COST * len(ids) > top:
-                top, link = best[at - 1] - BYTE_COST * len(ids), (at - 1, ids)
-        best[at], self.back[at] = top, link
-        best.pop(at - c.longest, None)
-        if at % c.longest == 0:
-            self.commit()
-
-    def commit(self) -> None:
-        """Commits the ids before the last boundary that the paths to all boundaries in the window share."""
-        live = set(self.best)
+        score, best, back = c.score_of_ending.get, self.best, self.back
+        text = self.text = self.text + part
+        for end in range(len(best), len(text) + 1):
+            top, link = -1e300, 0
+            start = end - 1
+            low = end - c.longest if end > c.longest else 0
+            while start >= low:
+                v = score(text[start:end], 0)
+                if v is not None:
+                    if v == 0:  # no piece ends in these characters
+                        break
+                    v += best[start]
+                    if v > top:
+                        top, link = v, start
+                start -= 1
+            if top == -1e300 or text[end - 1] not in c.id_of:
+                v = best[end - 1] - BYTE_COST * len(text[end - 1].encode())
+                if v > top:
+                    top, link = v, end - 1
+            best.append(top)
+            back.append(link)
+
+    def _commit(self) -> None:
+        """Commits up to the last boundary that the paths to all boundaries in the window share."""
+        last = len(self.text)
+        live = set(range(max(last - self.codec.longest + 1, 0), last + 1))
         while len(live) > 1:
-            last = max(live)
-            live.discard(last)
-            if last not in self.back:  # the start of what is not committed yet
-                return
-            live.add(self.back[last][0])
-        self._settle(live.pop())
+            end = max(live)
+            live.discard(end)
+            live.add(self.back[end])
+        end = live.pop()
+        if end:
+            self._settle(end)
+            self.text = self.text[end:]
+            self.best = [x - self.best[end] for x in self.best[end:]]
+            self.back = [max(x - end, 0) for x in self.back[end:]]
 
     def _settle(self, end: int) -> None:
-        found, last = [], end
-        while end in self.back:
-            start, ids = self.back.pop(end)
-            found.append(ids)
+        c, found = self.codec, []
+        while end:
+            start = self.back[end]
+            piece = self.text[start:end]
+            found.append(c.id_of[piece] if piece in c.id_of else piece)
             end = start
-        for ids in reversed(found):
-            self.ids.extend(ids)
-        for k in [k for k in self.back if k <= last]:  # paths that lead nowhere now
-            del self.back[k]
+        for x in reversed(found):
+            if isinstance(x, str):
+                self.ids.extend(c.byte[b] for b in x.encode())
+            else:
+                self.ids.append(x)
 
     def close(self) -> list[int]:
-        self._settle(self.at)
+        self._settle(len(self.text))
         return self.ids
 
 
@@ -104,11 +123,13 @@ class PieceCodec:
         bpe = model.trainer_spec.model_type == 2
         normal = [(i, p) for i, p in enumerate(model.pieces) if p.type == 1]
         rank = {p.piece: r for r, (_, p) in enumerate(normal)}
-        self.scored = {p.piece: (-log(rank[p.piece] + 2) if bpe else p.score, (i,)) for i, p in normal}
+        self.scored = {p.piece: -log(rank[p.piece] + 2) if bpe else p.score for _, p in normal}
+        self.id_of = {p.piece: i for i, p in normal}
         if any(a != SPACE and b == SPACE for p in self.scored for a, b in zip(p, p[1:])):
             raise ValueError("a piece has a space mark after another character")
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
-        self.endings = {p[i:] for p in self.scored for i in range(len(p))}
+        # None for characters that end a piece and are none. Scores are below 0, which stands for what ends no piece.
+        self.score_of_ending = {p[i:]: self.scored.get(p[i:]) for p in self.scored for i in range(len(p))}
         self.pairs = {p[i : i + 2] for p in self.scored for i in range(len(p) - 1)}
         self.longest = max(map(len, self.scored))
         self.bytes_of = [b""] * len(model.pieces)
@@ -119,9 +140,6 @@ class PieceCodec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.mark_ids = tuple(self.byte[b] for b in SPACE.encode())
 
-    def spelt(self, char: str) -> tuple[int, ...]:
-        return tuple(self.byte[b] for b in char.encode())
-
     def word(self, s: str) -> tuple[int, ...]:
         found = self.known.get(s)
         if found is None:
@@ -131,8 +149,7 @@ class PieceCodec:
                 found = tuple(chain.from_iterable(self.word(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)])))
             else:
                 stream = Stream(self)
-                for char in s:
-                    stream.push(char)
+                stream.feed(s)
                 found = tuple(stream.close())
             if len(s) <= KEEP_LENGTH:
                 if len(self.known) >= KEEP_COUNT:
@@ -188,15 +205,17 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     A null text counts as empty and has no ids. One narrow pass; model_file is read on each executor.
     """
 
-    @F.pandas_udf("ids array<int>, exact boolean")
-    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_file)
-        for s in parts:
-            ids = [c.encode(t) for t in s]
-            yield pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "exact": [c.decode(x) == t for x, t in zip(ids, s)]})
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), encoded(whole(text_col)).alias("_e"))
-    return rows.select("doc_id", "_e.ids", F.size("_e.ids").alias("n_ids"), "_e.exact")
+        for p in parts:
+            for at in range(0, len(p), SOME):
+                some = p.iloc[at : at + SOME]
+                ids = [np.fromiter(c.encode(t), np.int32) for t in some["t"]]
+                exact = [c.decode(x.tolist()) == t for x, t in zip(ids, some["t"])]
+                yield pd.DataFrame({"doc_id": some["doc_id"].array, "ids": ids, "n_ids": [len(x) for x in ids], "exact": exact})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
+    return rows.mapInPandas(encoded, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, n_ids int, exact boolean")
 
 
 def decode_documents(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
