@@ -45,13 +45,18 @@ class Stream:
         self.ids: list[int] = []
         self.text = ""
         self.best, self.back = [0.0], [0]
+        self.tried = 0  # characters that the last commit left
 
     def feed(self, part: str) -> None:
-        c = self.codec
-        for i in range(0, len(part), 4 * c.longest):
-            self._advance(part[i : i + 4 * c.longest])
-            if len(self.text) > 4 * c.longest:
+        at, room = 0, 4 * self.codec.longest
+        while at < len(part):
+            # Paths of a long run of one character may not meet; ever larger steps keep the attempts few.
+            step = max(room, len(self.text) // 2)
+            self._advance(part[at : at + step])
+            at += step
+            if len(self.text) > self.tried + room + self.tried // 2:
                 self._commit()
+                self.tried = len(self.text)
 
     def _advance(self, part: str) -> None:
         c = self.codec
