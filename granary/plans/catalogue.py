@@ -279,10 +279,10 @@ def until_target(spark, sf):
 
 @query(
     f"WITH {Q}, n AS (SELECT source, count(*) AS n FROM q GROUP BY source), d AS (SELECT * FROM n ORDER BY md5(concat('{SEED}:7:', source)), source LIMIT 4), r AS (SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY md5(concat('{SEED}:7:', seq)), seq) AS rn FROM q) "
-    "SELECT source, seq, CASE WHEN rn <= 5 THEN 'support' ELSE 'query' END AS role FROM r JOIN d USING (source) WHERE n >= 15 AND rn <= 15"
+    "SELECT source, seq, CASE WHEN rn <= 3 THEN 'support' ELSE 'query' END AS role FROM r JOIN d USING (source) WHERE n >= 8 AND rn <= 8"
 )
 def episodes_support_query(spark, sf):
-    return sampling.episodes(questions(spark, sf), "source", 4, 5, 10, SEED, 7, "seq")
+    return sampling.episodes(questions(spark, sf), "source", 4, 3, 5, SEED, 7, "seq")
 
 
 @query()

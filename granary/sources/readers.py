@@ -17,10 +17,12 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, mode: str = "
 
     Blank lines are skipped, gzip files are read as they are, path may be a glob or a list.
     """
-    reader = spark.read.schema(schema)
     if mode == "strict":
-        return reader.option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    # Lines are parsed by an expression, so that dropping or counting bad ones doesn't depend on which columns are used.
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = lines.select(F.from_json("value", f"{schema}, _corrupt_record STRING", options).alias("r")).select("r.*")
     return rows if mode == "keep" else rows.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
