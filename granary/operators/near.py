@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASHES, BANDS, WORDS, LEAST = 64, 16, 5, 0.8
+HASHES, BANDS, WORDS, LEAST = 32, 8, 5, 0.8
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -16,19 +16,18 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(w), one), F.lit(0)))
 
 
-def minhash(shingles: Column, hashes: int = HASHES) -> Column:
-    """The least hash of the set under each of `hashes` seeds. The set is bound once, outside the lambda over seeds."""
-    signature = lambda a: F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda s: F.array_min(F.transform(a, lambda x: F.xxhash64(x, s))))
-    return F.get(F.transform(F.array(shingles), signature), F.lit(0))
-
-
 def minhash_links(df: DataFrame, id_col: str, text_col: str, least: float = LEAST, hashes: int = HASHES, bands: int = BANDS) -> DataFrame:
     """(id, leader, similarity): each document with, for every band of its MinHash that it shares, the smallest id in
-    that bucket, where the exact Jaccard similarity reaches `least`. Copies are not expanded into all pairs."""
+    that bucket, where the exact Jaccard similarity reaches `least`. Copies are not expanded into all pairs.
+
+    Signatures are minima over exploded shingles, one aggregate for each seed, so that they are compiled and combined
+    before the shuffle.
+    """
     rows = hashes // bands
     sets = df.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col)).alias("s")).filter(F.size("s") > 0)
-    signed = sets.withColumn("m", minhash(F.col("s"), hashes))
-    keys = signed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(F.col("m"), b * rows + 1, rows)))).alias("key"))
+    signed = sets.select("id", F.explode("s").alias("h")).groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(hashes)])
+    key = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + i}") for i in range(rows)]) for b in range(bands)])
+    keys = signed.select("id", F.explode(key).alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
     pairs = keys.join(heads, "key").filter("id <> leader").select("id", "leader").distinct()
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("t")), "leader")
