@@ -50,6 +50,24 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the map of ids by which rows are sifted: 2^26 bits are 2048 rows of 4 KB, whatever the input.
+SIFT_BITS = 1 << 26
+
+
+def sift(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df that may have one of the ids of the one-column table `ids`: all that have, and few others.
+
+    A map of hashed ids of fixed size is broadcast, so rows are dropped before they are moved for the exact join that
+    must follow. With very many ids the map fills up and drops less.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIFT_BITS))
+    maps = ids.select(place(F.col(ids.columns[0])).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_sift_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_sift_map"))
+    bit = F.bitmap_bit_position(place(F.col(id_col)))
+    byte = F.conv(F.hex(F.substring("_sift_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(id_col))) == F.col("_sift_bucket"))
+    return met.filter(byte.bitwiseAND(F.expr("cast(1 as int)") * F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0).drop("_sift_bucket", "_sift_map")
+
+
 def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """work(rows) for each group of rows with equal keys; rows are tuples of df's other columns, sorted by `order`.
 

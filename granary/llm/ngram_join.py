@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import kept_table, map_runs, whole
+from granary.llm.common import kept_table, map_runs, sift, whole
 from granary.llm.components import connected_components
 from granary.llm.shingles import WORDS, shingle_sets
 
@@ -158,7 +158,7 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
             sig = [hashlib.blake2b(s, digest_size=16).digest() for s in out]
             yield pd.DataFrame({"doc": p["doc"], "cluster": p["cluster"], "sig": sig, "n": [len(s) // 8 for s in out], "shingles": out})
 
-    members = rows.join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    members = sift(rows, "doc", clusters.select("node")).join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
     members = members.mapInPandas(sets_of, "doc bigint, cluster bigint, sig binary, n bigint, shingles binary").filter("n > 0")
     members = members.join(classes.select("sig", F.col("rep").alias("doc"), "size"), ["sig", "doc"]).dropDuplicates(["sig", "doc"])
     members = kept_table(members.select("doc", "cluster", "size", "n", "shingles", F.floor(F.log(SIZE_STEP, F.col("n"))).alias("g")), "join-members")

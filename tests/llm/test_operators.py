@@ -439,3 +439,11 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 107), (107, 103), (200, 200), (103, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | dict.fromkeys((100, 103, 107), 100)
+
+
+def test_sift_keeps_all_and_few_others(spark):
+    from granary.llm.common import sift
+
+    ids = spark.range(0, 100_000, 7).toDF("id")
+    kept = {r.doc for r in sift(spark.range(-50, 100_000).toDF("doc"), "doc", ids).collect()}
+    assert set(range(0, 100_000, 7)) <= kept and len(kept) < 14_286 + 60
