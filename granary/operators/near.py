@@ -35,15 +35,28 @@ def minhash_links(df: DataFrame, id_col: str, text_col: str, least: float = LEAS
     return both.select("id", "leader", (same / (F.size("s") + F.size("t") - same)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def contaminated(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_text: str, most_items: int = 100_000) -> DataFrame:
-    """Ids of rows whose text holds an item verbatim: an item is found by its text, not by a hash.
+def contaminated(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_text: str, gram: int = 8, most_items: int = 100_000) -> DataFrame:
+    """Ids of rows whose text holds an item verbatim, wherever it starts.
 
-    items is a set of benchmark questions; it is broadcast only up to most_items rows.
+    A text that holds an item holds its inner words whole, so an item of gram + 2 words or more is looked up by the hash
+    of the words after its first, and the text then decides. Shorter items meet every text; they are few, or the call
+    raises. Items are benchmark questions and are broadcast up to most_items rows; beyond that they are joined by key.
     """
-    known = items.select(F.col(item_text).alias("item")).filter("item <> ''")
-    small = known.limit(most_items + 1).count() <= most_items
-    on = F.contains(F.col(text_col), F.col("item"))
-    return df.select(id_col, text_col).join(F.broadcast(known) if small else known, on, "left_semi").select(id_col)
+    words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    known = items.select(F.col(item_text).alias("item")).filter("item <> ''").distinct().withColumn("w", words(F.col("item")))
+    n_items, n_short = known.agg(F.count(F.lit(1)), F.count_if(F.size("w") < gram + 2)).first()
+    if n_short > most_items:
+        raise ValueError(f"{n_short} items are shorter than {gram + 2} words")
+    keyed = known.filter(F.size("w") >= gram + 2).select("item", F.xxhash64(*[F.get("w", F.lit(1 + i)) for i in range(gram)]).alias("g"))
+    short = F.broadcast(known.filter(F.size("w") < gram + 2).select("item"))
+    grams = lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(gram)])))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    seen = rows.select("id", F.explode(F.array_distinct(F.get(F.transform(F.array(words(F.col("t"))), grams), F.lit(0)))).alias("g"))
+    pairs = seen.join(F.broadcast(keyed) if n_items <= most_items else keyed, "g").select("id", "item").distinct()
+    hit = rows.join(pairs, "id").filter(F.contains("t", "item")).select("id")
+    if n_short:
+        hit = hit.union(rows.join(short, F.contains("t", "item"), "left_semi").select("id"))
+    return hit.distinct().select(F.col("id").alias(id_col))
 
 
 def cosine_links(df: DataFrame, id_col: str, vector: str, queries: DataFrame, least: float, block: int = 512) -> DataFrame:

@@ -268,7 +268,7 @@ def shuffle_batch_audit(spark, sf):
 
 @query(f"WITH {Q} SELECT seq, row_number() OVER (PARTITION BY domain, difficulty ORDER BY {RANK}, seq) AS rank FROM q")
 def interleave_order(spark, sf):
-    return sampling.interleaved(questions(spark, sf), ["domain", "difficulty"], SEED, "seq").select("seq", "rank")
+    return sampling.interleaved(questions(spark, sf), ["domain", "difficulty"], SEED, "seq").select("seq", big(F.col("rank")).alias("rank"))
 
 
 @query(f"WITH {Q}, b AS (SELECT *, seq // 25 AS batch FROM q), n AS (SELECT domain, batch, count(*) AS c FROM b GROUP BY ALL), t AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY domain ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT b.domain, count(*) AS n FROM b JOIN t USING (domain, batch) WHERE before < 60 GROUP BY b.domain")
@@ -618,6 +618,88 @@ def stream_dedup_ledger(spark, sf):
     return spark.read.parquet(f"{root}/out").select("seq", "key")
 
 
+@query(
+    "WITH v AS (SELECT user_id, ts AS view_ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL) "
+    "SELECT event_id, view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts"
+)
+def purchases_with_last_view(spark, sf):
+    """As-of join: for each purchase the user's last view until then, by one sort on user and time."""
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase"))
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    last = F.last(view, ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return e.withColumn("view_id", last).filter("event_type = 'purchase'").select("event_id", "view_id")
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def rollup_language_source(spark, sf):
+    return table(spark, sf, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), big(F.sum("n_chars")).alias("chars"))
+
+
+@query("SELECT lang, event_bucket AS part, count(*) AS n FROM (SELECT lang, n_chars // 1000 AS event_bucket FROM documents) GROUP BY CUBE (lang, event_bucket)")
+def cube_language_size(spark, sf):
+    return table(spark, sf, "documents").select("lang", F.expr("n_chars div 1000").alias("part")).cube("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, quantile_disc(n_chars, 0.5) AS median_chars FROM documents GROUP BY lang")
+def median_length(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").cast("bigint").alias("median_chars"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k")
+def user_sessions(spark, sf):
+    from granary.streaming.incremental import sessions
+
+    return sessions(table(spark, sf, "events"), "ts", "user_id").select("user_id", "n")
+
+
+@query("WITH c AS (SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE doc_id % 7 < 5 GROUP BY source) SELECT source, n, row_number() OVER (ORDER BY n DESC, first_id) AS place FROM c")
+def counts_in_order(spark, sf):
+    """Most first; ties in the order of first appearance."""
+    c = table(spark, sf, "documents").filter("doc_id % 7 < 5").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("f"))
+    return c.select("source", "n", big(F.row_number().over(Window.orderBy(F.desc("n"), "f"))).alias("place"))  # one row a source
+
+
+@query("SELECT page_id, length(html) AS before, length(" + _STRIP.format("regexp_replace(html, '<[^>]+>', '', 'g')") + ") AS after FROM pages")
+def before_and_after(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", big(F.char_length("html")).alias("before"), big(F.char_length(text.strip_tags(F.col("html")))).alias("after"))
+
+
+@query("SELECT item_id, concat('answer of ', length(text)) AS answer FROM benchmark")
+def provider_answers(spark, sf):
+    from granary.operators.providers import apply_provider
+
+    return apply_provider(table(spark, sf, "benchmark"), "text", lambda prompts: [f"answer of {len(p)}" for p in prompts]).select("item_id", "answer")
+
+
+@query("SELECT doc_id, least(strlen(text), 2048) AS tokens FROM documents")
+def tokenized_lengths(spark, sf):
+    """Ids are the text's bytes here; any encoder can be passed."""
+    from granary.operators.providers import tokenize
+
+    return tokenize(table(spark, sf, "documents"), "text", lambda t: list(t.encode())).select("doc_id", big(F.size("input_ids")).alias("tokens"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def collated_roles(spark, sf):
+    from granary.operators.providers import collate
+
+    return collate(table(spark, sf, "conversations"), "conv_id", "turn", "turn", "role").select("conv_id", F.array_join("role", ",").alias("roles"))
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND lower(lang) IN ('en', 'fr') AND source <> ''")
+def complete_questions(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.filter((text.strip(F.col("text")) != "") & F.lower("lang").isin("en", "fr") & (F.col("source") != "")).select("doc_id")
+
+
+@query("SELECT left(text, 100) AS question, lang AS difficulty, 'no answer' AS error FROM documents WHERE doc_id % 11 = 0")
+def failed_rows(spark, sf):
+    from granary.operators.providers import failed
+
+    return failed(table(spark, sf, "documents").withColumn("a", F.when(F.col("doc_id") % 11 != 0, "x")), "text", F.col("lang"), "a")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one of our own only where the session names none."""
     import tempfile

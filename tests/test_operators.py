@@ -190,3 +190,12 @@ def test_streaming_windows(spark):
     assert sorted(r.n for r in incremental.windowed_counts(df, "ts", "k").collect()) == [1, 2]
     assert sorted(r.n for r in incremental.sessions(df, "ts", "k", "30 minutes").collect()) == [1, 2]
     assert incremental.distinct_stream(df, F.col("k")).count() == 1
+
+
+def test_contaminated_by_key_and_by_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = spark.createDataFrame([(item,), ("short one",), ("",), (None,)], "t string")
+    docs = spark.createDataFrame([(1, f"x{item}y"), (2, item.replace("zeta", "ZETA")), (3, "a short one"), (4, None), (5, "")], "id bigint, t string")
+    assert sorted(r.id for r in near.contaminated(docs, items, "id", "t", "t").collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        near.contaminated(docs, items, "id", "t", "t", most_items=0)
