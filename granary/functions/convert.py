@@ -16,10 +16,24 @@ HARD_SUBJECTS = (
 )
 LETTERS = ("A", "B", "C", "D")
 DOMAIN_OF = {"math": "Math", "gpqa": "Science", "humaneval": "Coding", "mgsm": "Math", "mmlu": "Reasoning", "drop": "Reading"}
+PROMPTS = {
+    "drop": ("Read the following passage and answer the question.\n\nPassage: ", "\n\nQuestion: ", "\n\nAnswer:"),
+    "gpqa": ("Answer the following graduate-level science question.\n\nQuestion: ", "\n\nAnswer:"),
+    "humaneval": ("Complete the following Python function.\n\n",),
+    "math": ("Solve the following math problem. Show your work.\n\nProblem: ", "\n\nSolution:"),
+    "mgsm": ("Solve this grade-school math problem.\n\nProblem: ", "\n\nAnswer:"),
+    "mmlu": ("Answer the following multiple choice question from ", ".\n\nQuestion: ", "\n\n", "\n\nAnswer:"),
+}
 METADATA = ("difficulty", "domain", "source", "num_answers", "task_id", "entry_point", "level", "type", "answer_number", "subject", "answer_index")
 _KIND = {"num_answers": "bigint", "answer_index": "int"}
 
 
+def _prompt(benchmark: str, *fields: Column) -> Column:
+    """The benchmark's fixed parts with the fields after each."""
+    parts = [F.lit(p) for p in PROMPTS[benchmark]]
+    return F.concat(*[x for pair in zip(parts, [*fields, F.lit("")][: len(parts)]) for x in pair])
+
+
 def _text(name: str) -> Column:
     return strip(F.coalesce(F.col(name), F.lit("")))
 
@@ -41,28 +55,28 @@ def _row(prompt: Column, response: Column, **metadata: Column) -> list[Column]:
 
 def from_drop(df: DataFrame) -> DataFrame:
     answers = F.coalesce(F.col("answers"), F.array().cast("array<string>"))
-    prompt = F.concat(F.lit("Read the following passage and answer the question.\n\nPassage: "), _text("passage"), F.lit("\n\nQuestion: "), _text("question"), F.lit("\n\nAnswer:"))
+    prompt = _prompt("drop", _text("passage"), _text("question"))
     return df.select(*_row(prompt, F.coalesce(F.get(answers, F.lit(0)), F.lit("Unknown")), difficulty=F.lit("easy"), domain=F.lit("reading_comprehension"), source=F.lit("DROP"), num_answers=F.size(answers)))
 
 
 def from_gpqa(df: DataFrame) -> DataFrame:
-    prompt = F.concat(F.lit("Answer the following graduate-level science question.\n\nQuestion: "), _text("question"), F.lit("\n\nAnswer:"))
+    prompt = _prompt("gpqa", _text("question"))
     return df.select(*_row(prompt, _text("answer"), difficulty=F.lit("hard"), domain=F.lit("science_qa"), source=F.lit("GPQA")))
 
 
 def from_humaneval(df: DataFrame) -> DataFrame:
-    prompt = F.concat(F.lit("Complete the following Python function.\n\n"), _text("prompt"))
+    prompt = _prompt("humaneval", _text("prompt"))
     return df.select(*_row(prompt, _text("canonical_solution"), difficulty=F.lit("medium"), domain=F.lit("code_generation"), source=F.lit("HumanEval"), task_id=F.coalesce("task_id", F.lit("")), entry_point=F.coalesce("entry_point", F.lit(""))))
 
 
 def from_math(df: DataFrame) -> DataFrame:
-    prompt = F.concat(F.lit("Solve the following math problem. Show your work.\n\nProblem: "), _text("problem"), F.lit("\n\nSolution:"))
+    prompt = _prompt("math", _text("problem"))
     return df.select(*_row(prompt, _text("solution"), difficulty=estimate_difficulty(F.lit("MATH"), F.col("level"), F.lit("")), domain=F.lit("mathematics"), source=F.lit("MATH"), level=_text("level"), type=_text("type")))
 
 
 def from_mgsm(df: DataFrame) -> DataFrame:
     """Rows without a question or an answer go."""
-    prompt = F.concat(F.lit("Solve this grade-school math problem.\n\nProblem: "), _text("question"), F.lit("\n\nAnswer:"))
+    prompt = _prompt("mgsm", _text("question"))
     full = df.filter((_text("question") != "") & (_text("answer") != ""))
     return full.select(*_row(prompt, _text("answer"), difficulty=F.lit("easy"), domain=F.lit("grade_school_math"), source=F.lit("MGSM"), answer_number=_text("answer_number")))
 
@@ -77,7 +91,7 @@ def from_mmlu(df: DataFrame) -> DataFrame:
     """Rows whose answer is no index of a choice, or not among the first four, go."""
     choices, index = F.coalesce(F.col("choices"), F.array().cast("array<string>")), F.coalesce(F.col("answer").cast("int"), F.lit(0))
     subject = _text("subject")
-    prompt = F.concat(F.lit("Answer the following multiple choice question from "), F.replace(subject, F.lit("_"), F.lit(" ")), F.lit(".\n\nQuestion: "), _text("question"), F.lit("\n\n"), lettered(choices), F.lit("\n\nAnswer:"))
+    prompt = _prompt("mmlu", F.replace(subject, F.lit("_"), F.lit(" ")), _text("question"), lettered(choices))
     response = F.concat(F.get(F.array(*[F.lit(x) for x in LETTERS]), index), F.lit(". "), F.get(choices, index))
     out = df.select(*_row(prompt, response, difficulty=estimate_difficulty(F.lit("MMLU"), F.lit(""), F.col("subject")), domain=F.lit("multitask_understanding"), source=F.lit("MMLU"), subject=subject, answer_index=index))
     return out.filter(F.col("response").isNotNull())

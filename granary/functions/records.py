@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from granary.functions.text import reasoning_steps, sanitize, strip_tags, token_count
 
 
+#: Fixed values of the format: how a hard answer's parts are joined, and what marks easy and hard rows.
+WITH_BOTH = ("Let me work through this step by step:\n\n", "\n\nChecking my reasoning:\n")
+WITH_DRAFT, WITH_THINKING, ANSWER = "Let me work through this:\n\n", "Analyzing this problem:\n\n", "\n\nFinal answer:\n"
+MARKS = {"easy": {"task_type": "general", "complexity": "low"}, "hard": {"task_type": "complex", "complexity": "high"}}
+
+
 def question_record(question: Column, domain: Column, model: str, difficulty: str = "easy") -> list[Column]:
     """question, difficulty, domain, model_used, generated_at."""
     return [question.alias("question"), F.lit(difficulty).alias("difficulty"), domain.alias("domain"), F.lit(model).alias("model_used"), F.lit(None).cast("string").alias("generated_at")]
@@ -16,7 +22,7 @@ def question_record(question: Column, domain: Column, model: str, difficulty: st
 def _answer_meta(domain: Column, model: str, difficulty: str, tokens: Column, *more: Column) -> Column:
     hard = difficulty == "hard"
     return F.struct(
-        F.lit(difficulty).alias("difficulty"), domain.alias("domain"), F.lit("complex" if hard else "general").alias("task_type"), F.lit("high" if hard else "low").alias("complexity"),
+        F.lit(difficulty).alias("difficulty"), domain.alias("domain"), *[F.lit(v).alias(k) for k, v in MARKS[difficulty].items()],
         F.lit(hard).alias("requires_reasoning"), F.lit("none").alias("harm_category"), tokens.alias("token_count"), F.lit(model).alias("teacher_model"), *more,
     ).alias("metadata")
 
@@ -38,11 +44,11 @@ def easy_response(response: Column) -> Column:
 def hard_response(draft: Column, thinking: Column, response: Column) -> Column:
     """Draft, check and answer as one text, by which of them are there."""
     d, t, r = strip_tags(draft), strip_tags(thinking), strip_tags(response)
-    answer = F.concat(F.lit("\n\nFinal answer:\n"), r)
+    answer = F.concat(F.lit(ANSWER), r)
     return (
-        F.when((d != "") & (t != "") & (r != ""), F.concat(F.lit("Let me work through this step by step:\n\n"), d, F.lit("\n\nChecking my reasoning:\n"), t, answer))
-        .when((d != "") & (r != ""), F.concat(F.lit("Let me work through this:\n\n"), d, answer))
-        .when((t != "") & (r != ""), F.concat(F.lit("Analyzing this problem:\n\n"), t, answer))
+        F.when((d != "") & (t != "") & (r != ""), F.concat(F.lit(WITH_BOTH[0]), d, F.lit(WITH_BOTH[1]), t, answer))
+        .when((d != "") & (r != ""), F.concat(F.lit(WITH_DRAFT), d, answer))
+        .when((t != "") & (r != ""), F.concat(F.lit(WITH_THINKING), t, answer))
         .otherwise(r)
     )
 

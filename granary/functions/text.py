@@ -11,6 +11,9 @@ PLACEHOLDERS = ("...", "TODO", "FIXME", "[placeholder]", "<placeholder>")
 LATEX_MARKS = ("\\(", "\\[", "\\frac")
 ENDINGS = ("?", ".", "!", ":", '"', "'")
 STEP_WORDS = ("First", "Second", "Third", "Fourth", "Fifth", "Next", "Then", "Finally", "Additionally", "Moreover")
+#: Patterns of a step number and of a bullet, and how texts become questions, with the longest text that is taken whole.
+NUMBERED, BULLET = r"(?:\d+\.|Step \d+:|#\d+)", r"(?:^|\n)\s*[-*•]\s+"
+SUMMARY, TASK = ("Summarize: ", "Summarize the following: ", 500), ("Write: ", "Write a function that: ", 200)
 
 
 def strip(c: Column) -> Column:
@@ -61,8 +64,8 @@ def reasoning_steps(c: Column) -> Column:
     and 0 for an empty text."""
     text = F.regexp_replace(c, "</?thinking>", "")
     found = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    numbered = found(r"(?iU)(?:\d+\.|Step \d+:|#\d+)")
-    bullets = found(r"(?U)(?:^|\n)\s*[-*•]\s+")
+    numbered = found("(?iU)" + NUMBERED)
+    bullets = found("(?U)" + BULLET)
     words = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?iU)\b(?:{'|'.join(STEP_WORDS)})\b"), F.lit(0))))
     sentences = F.least(F.size(F.filter(F.split(text, r"(?U)[.!?]\s+"), lambda s: F.char_length(strip(s)) > 20)), F.lit(5))
     steps = F.when(numbered > 0, numbered).when(bullets > 0, bullets).when(words > 0, words).otherwise(sentences)
@@ -87,12 +90,11 @@ def as_question(c: Column, domain: Column) -> Column:
     """A text put as a question or task of its domain; a summary's dots and the bounds 500 and 200 are part of the format."""
     t = strip(c)
     asks = t.endswith("?")
-    return (
-        F.when((domain == "Summarization") & ~asks, F.when(F.char_length(t) > 500, F.concat(F.lit("Summarize the following: "), F.left(t, F.lit(500)), F.lit("..."))).otherwise(F.concat(F.lit("Summarize: "), t)))
-        .when(asks, t)
-        .when(domain == "Coding", F.when(F.char_length(t) > 200, F.concat(F.lit("Write a function that: "), F.left(t, F.lit(200)))).otherwise(F.concat(F.lit("Write: "), t)))
-        .otherwise(t)
-    )
+
+    def put(short: str, long: str, most: int, end: str = "") -> Column:
+        return F.when(F.char_length(t) > most, F.concat(F.lit(long), F.left(t, F.lit(most)), F.lit(end))).otherwise(F.concat(F.lit(short), t))
+
+    return F.when((domain == "Summarization") & ~asks, put(*SUMMARY, "...")).when(asks, t).when(domain == "Coding", put(*TASK)).otherwise(t)
 
 
 def slug(c: Column) -> Column:
