@@ -50,6 +50,13 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(parts: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[pd.DataFrame]:
+    """Arrow's batches in pieces of so many rows, so that what is made of them is small at any time."""
+    for p in parts:
+        for at in range(0, len(p), rows):
+            yield p.iloc[at : at + rows]
+
+
 #: Bits of the map of ids by which rows are sifted: 2^26 bits are 2048 rows of 4 KB, whatever the input.
 SIFT_BITS = 1 << 26
 

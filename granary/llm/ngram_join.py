@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import kept_table, map_runs, sift, whole
+from granary.llm.common import few, kept_table, map_runs, sift, whole
 from granary.llm.components import connected_components
 from granary.llm.shingles import WORDS, shingle_sets
 
@@ -127,7 +127,7 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), whole(text_col).alias("text"))
 
     def describe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in few(parts):
             sets = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in shingle_sets(p["text"], words)]
             yield pd.DataFrame({"doc": p["doc"].astype("Int64"), "n": [n for n, _ in sets], "sig": [d for _, d in sets]})
 
@@ -136,9 +136,9 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
     classes = kept_table(able.groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")), "join-classes")
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            sets = list(shingle_sets(p["text"], words))
-            yield pd.DataFrame({"doc": p["doc"], "n": [len(s) for s in sets], "h": [s[: signature_length(len(s), num, den)] for s in sets]})
+        for p in few(parts):
+            sets = [(len(s), s[: signature_length(len(s), num, den)].copy()) for s in shingle_sets(p["text"], words)]
+            yield pd.DataFrame({"doc": p["doc"], "n": [n for n, _ in sets], "h": [h for _, h in sets]})
 
     signed = rows.filter("doc is not null").mapInPandas(sign, "doc bigint, n bigint, h array<bigint>").select("doc", "n", F.explode("h").alias("h"))
     counts = kept_table(signed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-counts")
@@ -153,7 +153,7 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
 
     # Whole sets of the documents in clusters, each text once.
     def sets_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in few(parts):
             out = [s.tobytes() for s in shingle_sets(p["text"], words)]
             sig = [hashlib.blake2b(s, digest_size=16).digest() for s in out]
             yield pd.DataFrame({"doc": p["doc"], "cluster": p["cluster"], "sig": sig, "n": [len(s) // 8 for s in out], "shingles": out})
