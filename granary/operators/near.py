@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASHES, BANDS, WORDS, LEAST = 32, 8, 5, 0.8
+from granary.operators.links import exact_links
+
+WORDS, LEAST = 5, 0.8
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -16,23 +18,14 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(w), one), F.lit(0)))
 
 
-def minhash_links(df: DataFrame, id_col: str, text_col: str, least: float = LEAST, hashes: int = HASHES, bands: int = BANDS) -> DataFrame:
-    """(id, leader, similarity): each document with, for every band of its MinHash that it shares, the smallest id in
-    that bucket, where the exact Jaccard similarity reaches `least`. Copies are not expanded into all pairs.
+def minhash_links(df: DataFrame, id_col: str, text_col: str, least: float = LEAST) -> DataFrame:
+    """(id, leader, similarity) of all near duplicates: every two texts whose shingle sets differ and whose exact Jaccard
+    similarity reaches `least`, the smaller id as leader. Texts of equal sets are not expanded into all pairs: the
+    smallest id stands for them, and the others are paired with it at 1.0.
 
-    Signatures are minima over exploded shingles, one aggregate for each seed, so that they are compiled and combined
-    before the shuffle.
+    Candidates come from an exact search (see links.py), so no link is lost by chance, as by MinHash and bands.
     """
-    rows = hashes // bands
-    sets = df.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col)).alias("s")).filter(F.size("s") > 0)
-    signed = sets.select("id", F.explode("s").alias("h")).groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(hashes)])
-    key = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + i}") for i in range(rows)]) for b in range(bands)])
-    keys = signed.select("id", F.explode(key).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
-    pairs = keys.join(heads, "key").filter("id <> leader").select("id", "leader").distinct()
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("t")), "leader")
-    same = F.size(F.array_intersect("s", "t"))
-    return both.select("id", "leader", (same / (F.size("s") + F.size("t") - same)).alias("similarity")).filter(F.col("similarity") >= least)
+    return exact_links(df.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text_col)).alias("s")), least)
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_text: str, gram: int = 8, most_items: int = 100_000) -> DataFrame:

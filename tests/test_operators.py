@@ -199,3 +199,38 @@ def test_contaminated_by_key_and_by_text(spark):
     assert sorted(r.id for r in near.contaminated(docs, items, "id", "t", "t").collect()) == [1, 3]
     with pytest.raises(ValueError):
         near.contaminated(docs, items, "id", "t", "t", most_items=0)
+
+
+def test_links_of_drifting_versions_are_whole(spark, monkeypatch):
+    """Long series of versions, copies and unlike texts against brute force; also with groups cut into blocks."""
+    import random
+
+    from granary.operators import links
+
+    rng = random.Random(3)
+    rows = []
+    for series in range(3):
+        w = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for v in range(120):
+            rows.append((series * 1000 + v, " ".join(w)))
+            w[rng.randrange(100)] = f"w{rng.randrange(5000)}"
+    rows += [(5000 + i, rows[i * 7][1].upper()) for i in range(10)] + [(6000 + i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(12)))) for i in range(40)]
+    rows += [(7000, None), (7001, ""), (None, rows[0][1])]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(i, first[s]): 1.0 for i, s in sets.items() if first[s] != i}
+    for s, i in first.items():
+        for o, j in first.items():
+            if j < i and (same := len(s & o) / len(s | o)) >= 0.8:
+                want[i, j] = same
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    for most in (links.MOST, 4000):
+        monkeypatch.setattr(links, "MOST", most)
+        got = {(r.id, r.leader): r.similarity for r in near.minhash_links(df, "id", "t").collect()}
+        assert got == pytest.approx(want)
