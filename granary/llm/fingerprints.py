@@ -6,7 +6,8 @@ that share a passage share the anchors in it, in the same order. A fingerprint i
 the text; likeness is the share of common anchors among all (Jaccard).
 
 A symbol is an ideograph, or a run of at most 32 other characters that are not white space, so that texts without
-spaces have anchors too. A text of fewer than k symbols has one anchor, made of all of them.
+spaces have anchors too. A text of fewer than k symbols, or without a closed k-mer (one or two need not be), has one
+anchor, made of all of them.
 
 All of it is DataFrame expressions. Values that a lambda reads again and again are bound by `let`, since the optimizer
 could otherwise move their computation into the lambda.
@@ -45,7 +46,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     def of(h: Column) -> Column:
         smers = F.transform(ints(F.size(h) - s), lambda i: F.xxhash64(*[F.get(h, i + d) for d in range(s)]))
-        return F.when(F.size(h) >= k, let(smers, lambda m: pick(h, m))).when(F.size(h) > 0, F.array(short(F.xxhash64(h)))).otherwise(F.array().cast("array<bigint>"))
+        every = F.array(short(F.xxhash64(h)))
+        closed = let(let(smers, lambda m: pick(h, m)), lambda found: F.when(F.size(found) > 0, found).otherwise(every))
+        return F.when(F.size(h) >= k, closed).when(F.size(h) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda w: F.xxhash64(w)), of)
 

@@ -193,6 +193,19 @@ def test_closed_syncmers_are_context_free(spark):
     assert c and set(c) <= set(a) and set(c) <= set(b)
 
 
+def test_short_texts_have_anchors(spark):
+    """One or two k-mers need not be closed; such a text has one anchor, of all its symbols."""
+    from pyspark.sql import functions as F
+
+    from granary.llm.fingerprints import anchors, likeness
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for n in range(1, 8) for i in range(40)]
+    df = spark.createDataFrame([(t, " ".join(t.split()[::-1])) for t in texts], "t string, u string")
+    got = df.select("t", anchors(F.col("t")).alias("a"), anchors(F.col("u")).alias("b")).withColumn("l", likeness(F.col("a"), F.col("b"))).collect()
+    assert all(r.a and r.b for r in got)
+    assert all(r.l < 1 for r in got if " " in r.t)
+
+
 def prose_corpus(spark):
     import random
 
