@@ -6,6 +6,8 @@ nodes is the template, text that varies is a slot; the wrapper is the path to th
 text. From there come all blocks but menus, headers, footers, sidebars, notices, adverts, forms and comments, known by
 tag, role or name. Constant text is dropped only where no article is marked: inside one it is the author's.
 
+Unmarked pages of a group are aligned with a page of their own layout, so a blank or odd page stands for no other.
+
 Pages are dealt by host and, within a host of many pages, by salt, to groups of some dozens; each group induces its
 wrapper by itself. Groups come as sorted runs in a stream, so a task holds one group at a time.
 """
@@ -24,6 +26,8 @@ from granary.llm.html_tree import Node, parse, simple_tree_match, text_of
 #: Pages of a host that are aligned together, about; the share of varying text that the slots' element must hold; aligned
 #: pages that must all agree before unmarked text counts as template.
 GROUP, SHARE, AGREE = 32, 0.8, 3
+#: Share of paths that pages of one layout have in common; tags whose presence tells nothing of a layout.
+FIT, INLINE = 0.5, ("b", "i", "em", "strong", "span", "a")
 
 
 def _length(n: Node, memo: dict[int, int], varying: dict[int, float] | None = None) -> float:
@@ -73,13 +77,37 @@ def _at(root: Node, path: tuple[str, ...]) -> Node | None:
     return max(level, key=lambda n: _length(n, {}), default=None)
 
 
+def _shape(root: Node) -> frozenset[tuple[str, ...]]:
+    """The paths of elements that are not inline; how often one is repeated does not count."""
+    found, todo = set(), [((), root)]
+    while todo:
+        path, n = todo.pop()
+        for k in n.elements:
+            if k.tag not in INLINE:
+                found.add(at := (*path, k.key))
+                todo.append((at, k))
+    return frozenset(found)
+
+
+def _layouts(trees: list[Node], pages: list[int]) -> list[list[int]]:
+    """Unmarked pages by layout. The first page left is the reference of a layout, and those that share FIT of their
+    paths with it (Dice) belong to it; the rest are dealt again, until each page has a layout. Blank pages fit none.
+    """
+    shapes, out = {i: _shape(trees[i]) for i in pages}, []
+    while pages:
+        ref = pages[0]
+        fits = [i for i in pages if i == ref or 2 * len(shapes[i] & shapes[ref]) >= FIT * (len(shapes[i]) + len(shapes[ref])) > 0]
+        out.append(fits)
+        pages = [i for i in pages if i not in set(fits)]
+    return out
+
+
 def extract_group(pages: list[str]) -> list[str]:
     """Main texts of pages of one host."""
     trees = [parse(p) for p in pages]
     texts = [""] * len(pages)
     marks = [_marked(t) for t in trees]
-    for marked in (True, False):
-        own = [i for i in range(len(pages)) if bool(marks[i]) == marked]
+    for marked, own in ((True, [i for i, m in enumerate(marks) if m]), *((False, g) for g in _layouts(trees, [i for i, m in enumerate(marks) if not m]))):
         if not own:
             continue
         ref = own[0]

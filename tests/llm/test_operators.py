@@ -436,6 +436,19 @@ def test_wrapper_without_marked_article(spark):
     assert got == [" ".join(" ".join(t).split()) for t in texts]
 
 
+def test_wrapper_of_each_layout():
+    """A blank or odd first page and a second layout do not spoil the alignment of the others."""
+    from granary.llm.html_extract import extract_group
+
+    one = "<body><div id=top><p>Our site, since ever</p></div><div class=body><p>All rights are ours</p><p>{0}</p><p>{1}</p></div></body>"
+    two = "<body><table class=page><tr><td class=side>Always here</td><td class=text><h2>{0}</h2><blockquote>{1}</blockquote><p>Printed on paper</p></td></tr></table></body>"
+    texts = [("alpha beta " * 9 + str(i), "gamma delta " * 9 + str(i)) for i in range(6)]
+    want = [" ".join(" ".join(t).split()) for t in texts]
+    for odd in ("", "<html><h1>Error 500</h1><hr><address>server</address></html>"):
+        got = extract_group([odd] + [p.format(*t) for t in texts for p in (one, two)])
+        assert got[1::2] == want and got[2::2] == want
+
+
 def test_simple_tree_match():
     from granary.llm.html_tree import parse, simple_tree_match
 
