@@ -659,6 +659,13 @@ def counts_in_order(spark, sf):
     return c.select("source", "n", big(F.row_number().over(Window.orderBy(F.desc("n"), "f"))).alias("place"))  # one row a source
 
 
+@query("WITH c AS (SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source) SELECT source, n, row_number() OVER (ORDER BY n DESC, first_id) AS place FROM c")
+def counts_in_order_of_all(spark, sf):
+    """As counts_in_order, over the whole table."""
+    c = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("f"))
+    return c.select("source", "n", big(F.row_number().over(Window.orderBy(F.desc("n"), "f"))).alias("place"))  # one row a source
+
+
 @query("SELECT page_id, length(html) AS before, length(" + _STRIP.format("regexp_replace(html, '<[^>]+>', '', 'g')") + ") AS after FROM pages")
 def before_and_after(spark, sf):
     p = table(spark, sf, "pages")
