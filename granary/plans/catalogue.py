@@ -307,9 +307,9 @@ def strip_tags_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"))).alias("text_hash"))
 
 
-def _tagged(spark, sf):
+def _tagged(spark, sf, most=80):
     q = questions(spark, sf)
-    part = lambda tag, keep: F.when(keep, text.wrap_tag(F.left("question", F.lit(80)), tag)).otherwise(F.lit(""))
+    part = lambda tag, keep: F.when(keep, text.wrap_tag(F.left("question", F.lit(most)) if most else F.col("question"), tag)).otherwise(F.lit(""))
     return q.select("seq", "domain", "difficulty", F.col("question").alias("prompt"), part("draft", F.col("seq") % 2 == 0).alias("draft"), part("thinking", F.col("seq") % 3 == 0).alias("thinking"), text.wrap_tag(F.col("question"), "response").alias("response"))
 
 
@@ -330,6 +330,24 @@ def cleaned_stats(spark, sf):
     return quality.cleaned_stats(rows, "prompt", "response", F.col("difficulty"))
 
 
+_TAGGED_WHOLE = _TAGGED.replace("left(question, 80)", "question")
+
+
+@query(
+    f"WITH {_TAGGED_WHOLE} SELECT seq, md5(CASE WHEN difficulty <> 'hard' THEN r WHEN d <> '' AND k <> '' AND r <> '' THEN concat('Let me work through this step by step:\n\n', d, '\n\nChecking my reasoning:\n', k, '\n\nFinal answer:\n', r) "
+    "WHEN d <> '' AND r <> '' THEN concat('Let me work through this:\n\n', d, '\n\nFinal answer:\n', r) WHEN k <> '' AND r <> '' THEN concat('Analyzing this problem:\n\n', k, '\n\nFinal answer:\n', r) ELSE r END) AS response_hash FROM t"
+)
+def clean_easy_hard_template_whole(spark, sf):
+    """As clean_easy_hard_template, with whole sections."""
+    return records.clean_training_rows(_tagged(spark, sf, None), F.col("difficulty")).select("seq", F.md5("response").alias("response_hash"))
+
+
+@query(f"WITH {_TAGGED_WHOLE} SELECT count(*) AS total, count(*) FILTER (difficulty = 'easy') AS easy, count(*) FILTER (difficulty = 'hard') AS hard, CAST(0 AS BIGINT) AS other, CAST(0 AS BIGINT) AS missing_prompt, count(*) FILTER (r = '') AS missing_response, count(*) FILTER (regexp_matches(r, '(?i)</?[a-z]+>')) AS has_markup, round(avg(length(r)), 6) AS avg_length FROM t")
+def cleaned_stats_whole(spark, sf):
+    rows = _tagged(spark, sf, None).withColumn("response", records.easy_response(F.col("response")))
+    return quality.cleaned_stats(rows, "prompt", "response", F.col("difficulty"))
+
+
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS tokens, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS collapsed FROM documents")
 def whitespace_token_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"), F.md5(text.collapse_space(F.col("text"))).alias("collapsed"))
@@ -477,6 +495,13 @@ def batch_prompts(spark, sf):
     return records.batch_prompt(q, "batch", "seq", "question").select("batch", F.md5("prompt").alias("prompt_hash"))
 
 
+@query(f"WITH {Q} SELECT seq // 25 AS batch, md5(string_agg(concat('Question ', seq % 25 + 1, ': ', question), '\n\n' ORDER BY seq)) AS prompt_hash FROM q GROUP BY 1")
+def batch_prompts_whole(spark, sf):
+    """As batch_prompts, with whole questions."""
+    q = questions(spark, sf).select(F.expr("seq div 25").alias("batch"), "seq", "question")
+    return records.batch_prompt(q, "batch", "seq", "question").select("batch", F.md5("prompt").alias("prompt_hash"))
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS token_count, 'easy' AS difficulty, lang AS domain, false AS requires_reasoning FROM documents")
 def easy_records(spark, sf):
     d = table(spark, sf, "documents")
