@@ -442,6 +442,13 @@ def thirds_of_texts(spark, sf):
     return rows.select("doc_id", *[F.md5(f"s.{k}").alias(k) for k in ("draft", "thinking", "response")])
 
 
+@query()
+def sections_of_texts(spark, sf):
+    """Of all documents, whichever way their sections are found; empty texts have none."""
+    rows = table(spark, sf, "documents").select("doc_id", repair.sections(F.col("text")).alias("s"))
+    return rows.select("doc_id", *[F.md5(f"s.{k}").alias(k) for k in ("draft", "thinking", "response")])
+
+
 # Converters and records
 
 

@@ -156,3 +156,36 @@ def test_batch_and_generation_prompts(spark):
     assert {r.batch: r.prompt for r in records.batch_prompt(df, "batch", "pos", "q").collect()} == {0: "Question 1: a\n\nQuestion 2: b", 1: "Question 1: c"}
     assert "about x" in one(spark, records.generation_prompt(F.col("d"), F.lit("easy"), F.array(F.lit("x")), F.col("d"), 5), d="Math")
     assert json.loads('["ok"]') == ["ok"]
+
+
+def test_sections_of_all_texts(spark, tmp_path):
+    """Every branch against plain Python, on texts with and without line breaks."""
+    import hashlib
+
+    from granary.plans.catalogue import QUERIES
+
+    kinds = ("draft", "thinking", "response")
+
+    def brute(t):
+        if not t:
+            return [None] * 3
+        if all(f"<{k}>" in t for k in kinds):
+            return [t[t.index(f"<{k}>") : t.index(f"</{k}>") + len(k) + 3] for k in kinds]
+        now, got = "", {k: [] for k in kinds}
+        for line in t.split("\n"):
+            named = next((k for k, words in zip(kinds, (("draft",), ("thinking",), ("response", "final"))) if len(line) < 50 and any(w in line.lower() for w in words)), None)
+            if named:
+                now = named
+            elif now and line.strip():
+                got[now].append(line)
+        if all(got.values()):
+            return [f"<{k}>\n" + "\n".join(got[k]) + f"\n</{k}>" for k in kinds]
+        parts = [p for p in t.split("\n\n") if p.strip()]
+        whole, open_, join = (parts, "\n", "\n".join) if len(parts) >= 3 else (t, "", str)
+        n = len(whole)
+        return [f"<{k}>{open_}{join(whole[n * i // 3 : n * (i + 1) // 3])}{open_}</{k}>" for i, k in enumerate(kinds)]
+
+    texts = [None, "", "ab", "one line only", "two\nlines", "a\n\nb\n\nc\n\nd", "p\n\n \n\nq", "x <draft>1</draft>\n<thinking>2</thinking><response>3</response>", "Draft:\na\n\nThinking\nb\nFinal\nc\nd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r)[1:] for r in QUERIES["sections_of_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: [x and hashlib.md5(x.encode()).hexdigest() for x in brute(t)] for i, t in enumerate(texts)}
