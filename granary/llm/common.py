@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +25,14 @@ def whole(col: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One of our own only where the session names none, as in tests."""
+    """The folder that all executors share. In local mode one of our own where the session names none; elsewhere that
+    is an error, as executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -47,7 +52,36 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of kept_table that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """One column `row` with all columns of docs, and a copy of each column that `named` gives under the name wanted.
+
+    Columns of docs are taken by place, so no name of theirs can clash with those of an operator.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.select(F.struct("*").alias("row"), *(F.col(f"c{docs.columns.index(c)}").alias(name) for name, c in named.items()))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from the column `row` of packed()."""
+    return rows.select("row.*").toDF(*docs.columns)
+
+
+def id_text(col: str) -> Column:
+    """An id as text, for the way through pandas: there a null would turn a batch of numbers into floats."""
+    return F.col(col).cast("string")
 
 
 def few(parts: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[pd.DataFrame]:
@@ -75,11 +109,11 @@ def sift(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return met.filter(byte.bitwiseAND(F.expr("cast(1 as int)") * F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0).drop("_sift_bucket", "_sift_map")
 
 
-def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str, dealt: bool = False) -> DataFrame:
     """work(rows) for each group of rows with equal keys; rows are tuples of df's other columns, sorted by `order`.
 
     Groups come as sorted runs in a stream, so a task holds one group at a time, and many small groups cost little.
-    Callers bound the size of a group.
+    Callers bound the size of a group. dealt: df is partitioned by the keys already.
     """
     others = [c for c in df.columns if c not in keys]
     names = [x.split()[0] for x in schema.split(",")]
@@ -97,4 +131,4 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[l
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(work(held) if held else [], columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

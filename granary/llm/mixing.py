@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, kept_table
+from granary.llm.common import WORD, kept_table, packed, unpacked
 
 CHUNK = 64
 
@@ -160,8 +160,14 @@ def mixed_documents(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mix itself: the rows of docs, all columns as they were, each as often as it is taken (0, 1, 2 ... times)."""
+    """The mix itself: the rows of docs, all columns as they were, each as often as it is taken (0, 1, 2 ... times).
+
+    Nulls, texts without words, repeated rows and empty tables are as in mix_sources; a null text comes back as null.
+    Columns may have any names and types.
+    """
     rows, _ = _units(docs, list(weights), total_share, max_repeat, seed, id_col, text_col, source_col)
-    taken = rows.filter("copies > 0").select(F.col("source").alias("_ms"), F.col("id").alias("_mi"), F.col("size").alias("_mz"), F.col("copies").alias("_mc"))
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_ms")) & (_words(text_col) == F.col("_mz"))
-    return docs.join(kept_table(taken, "mix-taken"), on).withColumn("_mn", F.explode(F.sequence(F.lit(1), "_mc"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = rows.filter("copies > 0").select(F.col("source").alias("of"), F.col("id").alias("unit"), F.col("size").alias("words"), "copies")
+    all_rows = packed(docs, id=id_col, text=text_col, source=source_col)
+    on = F.col("id").cast("bigint").eqNullSafe(F.col("unit")) & F.col("source").eqNullSafe(F.col("of")) & (_words("text") == F.col("words"))
+    mixed = all_rows.join(kept_table(taken, "mix-taken"), on).select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return unpacked(mixed, docs)
