@@ -1,12 +1,15 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned, each with one of them, by simple tree matching. Text that stays the same in aligned
-nodes is the template, text that varies is a slot; the wrapper is the path to the element that holds the slots. An
-<article> or <main> names that element where a page has one, else it is the deepest element with most of the varying
-text. From there come all blocks but menus, headers, footers, sidebars, notices, adverts, forms and comments, known by
-tag, role or name. Constant text is dropped only where no article is marked: inside one it is the author's.
+Pages of one host and layout are aligned, each with one of them, by simple tree matching. A lowest block that most pages
+have and that is the same in all of them is template; what varies is a slot. The wrapper is the path to the element that
+holds the slots: the <article> or <main> that has most of the varying text, if it has SHARE of it, else the deepest
+element that has. From there come all blocks but template, menus, headers, footers, sidebars, notices, adverts, forms
+and comments, which are known by tag, role or name. A page that cannot be aligned (the only one of its layout, or with
+copies of it only) has its marked article, or else its densest element.
 
-Unmarked pages of a group are aligned with a page of their own layout, so a blank or odd page stands for no other.
+Near copies of the reference agree in what is content elsewhere, so they tell nothing of the template; and where most of
+the content of a layout would be template, its pages are near copies of one article, which keep it. A blank or odd page
+stands for no other, as each layout has a reference of its own.
 
 Pages are dealt by host and, within a host of many pages, by salt, to groups of some dozens; each group induces its
 wrapper by itself. Groups come as sorted runs in a stream, so a task holds one group at a time.
@@ -20,130 +23,153 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import kept_table, whole
-from granary.llm.html_tree import Node, parse, simple_tree_match, text_of
+from granary.llm.common import id_text, kept_table, whole
+from granary.llm.html_tree import Node, Shapes, parse, simple_tree_match, text_of
 
 #: Pages of a host that are aligned together, about; the share of varying text that the slots' element must hold; aligned
-#: pages that must all agree before unmarked text counts as template.
-GROUP, SHARE, AGREE = 32, 0.8, 3
-#: Share of paths that pages of one layout have in common; tags whose presence tells nothing of a layout.
-FIT, INLINE = 0.5, ("b", "i", "em", "strong", "span", "a")
-
-
-def _length(n: Node, memo: dict[int, int], varying: dict[int, float] | None = None) -> float:
-    """Characters of text below n that are not chrome, weighted by how much they vary."""
-    if id(n) in memo:
-        return memo[id(n)]
-    own = sum(len(k) for k in n.kids if isinstance(k, str) and not k.isspace())
-    total = own * (varying.get(id(n), 1.0) if varying is not None else 1.0)
-    total += sum(_length(k, memo, varying) for k in n.elements if not k.chrome)
-    memo[id(n)] = total
+#: pages that must agree, at least, before a block counts as template.
+GROUP, SHARE, AGREE = 32, 0.8, 2
+#: Share of paths that pages of one layout have in common; share of slots in which a near copy agrees with the reference;
+#: tags whose presence tells nothing of a layout.
+FIT, COPY, INLINE = 0.5, 0.5, ("b", "i", "em", "strong", "span", "a")
+
+Path = tuple[str, ...]
+
+
+def _weighted(root: Node, weight: dict[int, float]) -> dict[int, float]:
+    """Characters of content below each element, those of units by how much they vary."""
+    order, todo, total = [], [root], {}
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        if not n.unit:
+            todo.extend(k for k in n.elements if k.counts)
+    for n in reversed(order):
+        if n.unit:
+            total[id(n)] = n.size * weight.get(id(n), 1.0)
+        else:
+            below = [k for k in n.elements if k.counts]
+            total[id(n)] = n.size - sum(k.size for k in below) + sum(total[id(k)] for k in below)
     return total
 
 
-def _marked(root: Node) -> list[tuple[tuple[str, ...], Node]]:
+def _marked(root: Node) -> list[tuple[Path, Node]]:
     """Outermost <article> and <main> elements that are not chrome, with their paths; an article inside main wins."""
     found: dict[str, list] = {"article": [], "main": []}
-
-    def walk(n: Node, path: tuple[str, ...]) -> None:
-        for k in n.elements:
+    todo: list[tuple[Node, tuple]] = [(root, ())]
+    while todo:
+        n, path = todo.pop()
+        for k in reversed(n.elements):
             if not k.chrome:
+                below = (path, k.key)
                 if k.tag in found:
-                    found[k.tag].append(((*path, k.key), k))
+                    found[k.tag].append((below, k))
                 if k.tag != "article":
-                    walk(k, (*path, k.key))
+                    todo.append((k, below))
+    return [(_flat(p), k) for p, k in found["article"] or found["main"]]
+
 
-    walk(root, ())
-    return found["article"] or found["main"]
+def _flat(path: tuple) -> Path:
+    out = []
+    while path:
+        path, key = path
+        out.append(key)
+    return tuple(reversed(out))
 
 
-def _densest(root: Node, weight: dict[int, float] | None) -> tuple[tuple[str, ...], Node]:
+def _densest(root: Node, total: dict[int, float]) -> tuple[Path, Node]:
     """The deepest element that holds SHARE of the (varying) text."""
-    memo: dict[int, float] = {}
-    path, n = (), root
-    whole_length = _length(root, memo, weight)
+    path, n = [], root
     while True:
-        best = max((k for k in n.elements if not k.chrome and k.tag not in ("p", "b", "i", "em", "strong", "span", "a")), key=lambda k: _length(k, memo, weight), default=None)
-        if best is None or not whole_length or _length(best, memo, weight) < SHARE * whole_length:
-            return path, n
-        path, n = (*path, best.key), best
+        best = max((k for k in n.elements if k.counts and not k.unit), key=lambda k: total[id(k)], default=None)
+        if best is None or not total[id(root)] or total[id(best)] < SHARE * total[id(root)]:
+            return tuple(path), n
+        path.append(best.key)
+        n = best
 
 
-def _at(root: Node, path: tuple[str, ...]) -> Node | None:
+def _at(root: Node, path: Path) -> Node | None:
     """The element of most text at a path."""
     level = [root]
     for key in path:
         level = [k for n in level for k in n.elements if k.key == key and not k.chrome]
-    return max(level, key=lambda n: _length(n, {}), default=None)
+    return max(level, key=lambda n: n.size, default=None)
 
 
-def _shape(root: Node) -> frozenset[tuple[str, ...]]:
-    """The paths of elements that are not inline; how often one is repeated does not count."""
-    found, todo = set(), [((), root)]
+def _shape(root: Node) -> frozenset[int]:
+    """The paths (as hashes) of elements that are not inline; how often one is repeated does not count."""
+    found, todo = set(), [(0, root)]
     while todo:
         path, n = todo.pop()
         for k in n.elements:
             if k.tag not in INLINE:
-                found.add(at := (*path, k.key))
+                found.add(at := hash((path, k.key)))
                 todo.append((at, k))
     return frozenset(found)
 
 
-def _layouts(trees: list[Node], pages: list[int]) -> list[list[int]]:
-    """Unmarked pages by layout. The first page left is the reference of a layout, and those that share FIT of their
-    paths with it (Dice) belong to it; the rest are dealt again, until each page has a layout. Blank pages fit none.
+def _layouts(trees: list[Node]) -> list[list[int]]:
+    """Pages by layout. The first page left is the reference of a layout, and those that share FIT of their paths with it
+    (Dice) belong to it; the rest are dealt again, until each page has a layout. Blank pages fit none.
     """
-    shapes, out = {i: _shape(trees[i]) for i in pages}, []
+    shapes, out, pages = [_shape(t) for t in trees], [], list(range(len(trees)))
     while pages:
         ref = pages[0]
         fits = [i for i in pages if i == ref or 2 * len(shapes[i] & shapes[ref]) >= FIT * (len(shapes[i]) + len(shapes[ref])) > 0]
         out.append(fits)
-        pages = [i for i in pages if i not in set(fits)]
+        taken = set(fits)
+        pages = [i for i in pages if i not in taken]
     return out
 
 
+def _evidence(ref: Node, others: list[Node], shapes: Shapes) -> tuple[dict[int, float], frozenset[tuple[str, str]]]:
+    """How much each unit of the reference varies (0 to 1), and the units that are template, from aligned pages."""
+    aligned, units = [], {}
+    for tree in others:
+        same = {}
+        for a, b in simple_tree_match(ref, tree, shapes):
+            if a.unit and a.size:
+                text = units.setdefault(id(a), (a, text_of(a)))[1]
+                same[id(a)] = text == text_of(b)
+        aligned.append(same)
+    slots = {u for same in aligned for u, s in same.items() if not s}
+    size = lambda some: sum(units[u][0].size for u in some)
+    told = [same for same in aligned if size(u for u in same if u in slots and same[u]) <= COPY * size(u for u in same if u in slots)]
+    seen = {u: [same[u] for same in told if u in same] for u in units}
+    varies = {u: 1 - sum(s) / len(s) for u, s in seen.items() if s}
+    template = frozenset((n.key, text) for u, (n, text) in units.items() if len(seen[u]) >= max(AGREE, len(told) / 2) and all(seen[u]))
+    return varies, template
+
+
 def extract_group(pages: list[str]) -> list[str]:
     """Main texts of pages of one host."""
-    trees = [parse(p) for p in pages]
+    shapes = Shapes()
+    trees = [parse(p, shapes) for p in pages]
     texts = [""] * len(pages)
-    marks = [_marked(t) for t in trees]
-    for marked, own in ((True, [i for i, m in enumerate(marks) if m]), *((False, g) for g in _layouts(trees, [i for i, m in enumerate(marks) if not m]))):
-        if not own:
-            continue
-        ref = own[0]
-        seen: dict[int, int] = {}
-        same: dict[int, int] = {}
-        for i in own[1:]:
-            if pages[i] == pages[ref]:  # a copy tells nothing about the template
-                continue
-            for a, b in simple_tree_match(trees[ref], trees[i]):
-                if mine := a.own_text():
-                    seen[id(a)] = seen.get(id(a), 0) + 1
-                    same[id(a)] = same.get(id(a), 0) + (mine == b.own_text())
-        varying = {k: 1 - same[k] / n for k, n in seen.items()}
-        template: frozenset[str] = frozenset()
-        if marked:
-            memo: dict[int, float] = {}
-            path = max(marks[ref], key=lambda m: _length(m[1], memo, varying))[0]
-        else:
-            path, _ = _densest(trees[ref], varying)
-            constant: list[str] = []
-
-            def gather(n: Node) -> None:
-                if seen.get(id(n), 0) >= AGREE and same[id(n)] == seen[id(n)]:
-                    constant.append(n.own_text())
-                for k in n.elements:
-                    gather(k)
-
-            gather(trees[ref])
-            template = frozenset(constant)
+    regions: dict[int, Node] = {}
+    for own in _layouts(trees):
+        ref = trees[own[0]]
+        others = {pages[i]: trees[i] for i in own if pages[i] != pages[own[0]]}  # a copy tells nothing
+        varies, template = _evidence(ref, list(others.values()), shapes)
+        total = _weighted(ref, varies)
+        path, _ = _densest(ref, total)
+        marks = _marked(ref)
+        if marks:
+            at, best = max(marks, key=lambda m: total.get(id(m[1]), 0.0))
+            if not varies or total.get(id(best), 0.0) >= SHARE * total[id(ref)]:
+                path = at
         for i in own:
-            region = _at(trees[i], path)
-            if marked and (region is None or not any(n is region for _, n in marks[i])):
-                region = max(marks[i], key=lambda m: _length(m[1], {}))[1]
-            elif region is None or not path:
-                region = _densest(trees[i], None)[1]
-            texts[i] = text_of(region, template)
+            region = _at(trees[i], path) if path else None
+            if region is None:
+                own_marks = [n for _, n in _marked(trees[i])]
+                region = max(own_marks, key=lambda n: n.size) if own_marks else _densest(trees[i], _weighted(trees[i], {}))[1]
+            texts[i] = text_of(region)
+            regions[i] = region
+        if template:
+            without = {i: text_of(regions[i], template) for i in own}
+            if sum(map(len, without.values())) >= COPY * sum(len(texts[i]) for i in own):
+                for i, t in without.items():
+                    texts[i] = t
     return texts
 
 
@@ -151,9 +177,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per input row: page_id, url, text (empty if none), n_chars (its code points).
 
     Null html counts as empty. Pages of null or odd urls are a host of their own. Repeated rows are extracted each; a
-    page's text may depend on the pages of its group, and the groups on ids and urls only.
+    page's text may depend on the pages of its group, and the groups on ids and urls only. Pages may be long and deep;
+    other columns are ignored, and an empty table gives an empty result.
     """
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_u"), whole(html_col).alias("_h"))
+    rows = pages.select(id_text(id_col).alias("_id"), F.col(url_col).alias("_u"), whole(html_col).alias("_h"))
     host = F.lower(F.regexp_extract(F.coalesce("_u", F.lit("")), r"^[a-zA-Z][-+.\w]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = rows.withColumn("_host", host)
     salts = kept_table(rows.groupBy("_host").count().filter(F.col("count") > 2 * GROUP).select(F.col("_host").alias("_big"), F.ceil(F.col("count") / GROUP).alias("_n")), "html-hosts")
@@ -185,7 +212,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         done()
         yield pd.DataFrame(out, columns=["_id", "_u", "_x"])
 
-    kind = dict(rows.dtypes)
+    kind = pages.select(F.col(id_col).alias("_id")).schema["_id"].dataType
     runs = rows.select("_id", "_u", "_h", "_host", "_salt").repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "_id", "_u")
-    found = runs.mapInPandas(extract, f"_id {kind['_id']}, _u string, _x string")
-    return found.select(F.col("_id").alias("page_id"), F.col("_u").alias("url"), F.col("_x").alias("text"), F.char_length("_x").cast("bigint").alias("n_chars"))
+    found = runs.mapInPandas(extract, "_id string, _u string, _x string")
+    return found.select(F.col("_id").cast(kind).alias("page_id"), F.col("_u").alias("url"), F.col("_x").alias("text"), F.char_length("_x").cast("bigint").alias("n_chars"))
