@@ -91,7 +91,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_ROWS, **cols: str) -> Model:
-    """Learns from at most `most` labelled rows. Without any, or with one class only, the score is the same for all."""
+    """Learns from at most `most` labelled rows. Without any, or with one class only, the score is the same for all.
+
+    A null label is none. Of labels of one id that differ, the highest counts.
+    """
     texts = training_texts(docs, labels, label_col, most, **cols)
     probe = len(statistics(""))
 
@@ -144,7 +147,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted. A null text counts as empty and has a score.
 
-    A null id counts as not held out. Nothing but the text enters a score. Repeated rows are scored each.
+    A null id counts as not held out. Nothing but the text enters a score. Repeated rows are scored each, very long texts
+    as a whole; other columns are ignored, and an empty table gives an empty result.
     """
 
     @F.pandas_udf("double")

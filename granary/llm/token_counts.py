@@ -139,7 +139,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     model_file is read on each executor, from the same path everywhere. A null text counts as empty: 0 bytes, 0
-    tokens. Whole texts, however long; repeated rows are counted each.
+    tokens. Whole texts, however long; repeated rows are counted each; other columns are ignored, and an empty table
+    gives an empty result.
     """
 
     @F.pandas_udf("bigint")

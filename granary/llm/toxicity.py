@@ -1,11 +1,11 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Grades: 0 is a document labelled clean, 1 and 2 are the milder and the harder half of those labelled toxic, by the
-share of their words that are telling. One set of weights serves both thresholds,
-P(grade > j) = sigmoid(w . x - t_j) with t_0 < t_1, and the output is the expected grade.
+Grades come from the labels alone: 0 is a document labelled clean, 1 one labelled toxic, 2 one labelled toxic and of low
+quality as well. One set of weights serves both thresholds, P(grade > j) = sigmoid(w . x - t_j) with t_0 < t_1, and the
+output is the expected grade.
 
 Features are words and their beginnings of 4 to 6 letters; those enter that are more frequent in toxic documents than
-chance allows (likelihood ratio), at most a fixed number. A value is log(1 + times per 100 words).
+chance allows (likelihood ratio of LEAST_RATIO, in LEAST_DOCS documents or more). A value is log(1 + times per 100 words).
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import whole
 from granary.llm.labelled import held_out, training_texts
 
-#: Documents learned from and features, at most; documents and likelihood ratio that a feature needs.
-MOST_ROWS, MOST_FEATURES, LEAST_DOCS, LEAST_RATIO = 24_000, 1024, 5, 25.0
+#: Documents learned from, at most; documents and likelihood ratio that a feature needs.
+MOST_ROWS, LEAST_DOCS, LEAST_RATIO = 24_000, 5, 25.0
 PENALTY, STEPS = 0.5, 400
 
 _word = re.compile(r"\w+")
@@ -56,23 +56,18 @@ class Model:
             found = self._known[word] = tuple(self.index[f] for f in spellings(word) if f in self.index)
         return found
 
-    def vector(self, text: str) -> tuple[dict[int, float], float]:
-        """The text's features, and the share of words that have any."""
+    def vector(self, text: str) -> dict[int, float]:
         words = _word.findall(text.lower())
         counts: dict[int, int] = {}
-        hits = 0
         for found in map(self.of_word, words):
-            if found:
-                hits += 1
-                for i in found:
-                    counts[i] = counts.get(i, 0) + 1
+            for i in found:
+                counts[i] = counts.get(i, 0) + 1
         n = max(len(words), 1)
-        return {i: float(np.log1p(100 * c / n)) for i, c in counts.items()}, hits / n
+        return {i: float(np.log1p(100 * c / n)) for i, c in counts.items()}
 
     def exceeds(self, text: str) -> np.ndarray:
         """P(grade > j) for each threshold j."""
-        x, _ = self.vector(text)
-        return sigmoid(sum(self.weights[i] * v for i, v in x.items()) - self.thresholds)
+        return sigmoid(sum(self.weights[i] * v for i, v in self.vector(text).items()) - self.thresholds)
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +93,18 @@ def _fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarr
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = MOST_ROWS, **cols: str) -> Model:
-    """Learns from at most `most` labelled rows. Without toxic ones, every document is clean."""
-    texts = training_texts(docs, labels, label_col, most, **cols)
+def graded(labels: DataFrame, label_col: str = "toxic", quality_col: str | None = "quality", id_col: str = "doc_id") -> DataFrame:
+    """(id, grade) of labels: 0 clean, 1 toxic, 2 toxic and of quality 0. Without a quality, toxic is 1."""
+    worse = F.coalesce(F.col(quality_col) == 0, F.lit(False)).cast("int") if quality_col else F.lit(0)
+    return labels.select(F.col(id_col), F.when(F.col(label_col) > 0, 1 + worse).when(F.col(label_col).isNotNull(), 0).alias("grade"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", quality_col: str | None = "quality", most: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from at most `most` labelled rows. Without toxic ones, every document is clean.
+
+    A null label is none. Of labels of one id that differ, the highest grade counts.
+    """
+    texts = training_texts(docs, graded(labels, label_col, quality_col, id_col), "grade", most, id_col, text_col)
 
     totals = texts.agg(F.count_if(F.col("y") > 0).alias("t"), F.count_if(F.col("y") <= 0).alias("c")).first()
     nt, nc = totals["t"], totals["c"]
@@ -120,28 +124,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     ratio = 2 * (part(a, a + b, nt) + part(b, a + b, nc) + part(nt - a, n - a - b, nt) + part(nc - b, n - a - b, nc))
     counts = texts.mapInPandas(count_batches, "f string, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = counts.filter((a >= LEAST_DOCS) & (a * nc > b * nt)).withColumn("g", ratio).filter(F.col("g") > LEAST_RATIO)
-    names = [r["f"] for r in chosen.orderBy(F.desc("g"), "f").limit(MOST_FEATURES).collect()]
+    names = [r["f"] for r in chosen.orderBy(F.desc("g"), "f").collect()]  # words that are telling in `most` documents
     model = Model({f: i for i, f in enumerate(names)}, np.zeros(len(names)), np.array([40.0, 41.0]))
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             found = [model.vector(t) for t in p["text"]]
-            yield pd.DataFrame({"i": [list(x) for x, _ in found], "v": [list(x.values()) for x, _ in found], "share": [s for _, s in found], "y": p["y"]})
+            yield pd.DataFrame({"i": [list(x) for x in found], "v": [list(x.values()) for x in found], "y": p["y"]})
 
-    train = texts.mapInPandas(vectors, "i array<int>, v array<double>, share double, y int").toPandas()  # `most` rows at most, each of few features
-    toxic = train["y"].to_numpy() > 0
-    grade = toxic.astype(int) + (toxic & (train["share"].to_numpy() > np.median(train["share"][toxic])))
+    train = texts.mapInPandas(vectors, "i array<int>, v array<double>, y int").toPandas()  # `most` rows at most, each of few features
     rows = np.repeat(np.arange(len(train)), train["i"].map(len))
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in train[c]]) if len(rows) else np.zeros(0, kind)
-    model.weights, model.thresholds = _fit(rows, flat("i", np.int64), flat("v", float), grade, len(names), 3)
+    model.weights, model.thresholds = _fit(rows, flat("i", np.int64), flat("v", float), train["y"].to_numpy(), len(names), 3)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, severity (expected grade, 0 to 2), score (that of being toxic), grade
-    (the likeliest), toxic (score >= 0.5).
+    (the median), toxic (score >= 0.5).
 
-    A null text counts as empty, and an empty one has no features. Repeated rows are scored each.
+    A null text counts as empty, and an empty one has no features. Repeated rows are scored each, very long texts as a
+    whole; other columns are ignored, and an empty table gives an empty result.
     """
 
     @F.pandas_udf("array<double>")
@@ -151,12 +154,15 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     p0, p1 = F.col("_p")[0], F.col("_p")[1]
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), exceeds(whole(text_col)).alias("_p"))
-    likeliest = F.when((1 - p0 >= p0 - p1) & (1 - p0 >= p1), 0).when(p0 - p1 >= p1, 1).otherwise(2).cast("int")
-    return rows.select("doc_id", "held_out", (p0 + p1).alias("severity"), p0.alias("score"), likeliest.alias("grade"), (p0 >= 0.5).alias("toxic"))
+    median = (p0 >= 0.5).cast("int") + (p1 >= 0.5).cast("int")
+    return rows.select("doc_id", "held_out", (p0 + p1).alias("severity"), p0.alias("score"), median.alias("grade"), (p0 >= 0.5).alias("toxic"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not toxic (score < 0.5), with all their columns as they were."""
+    """The rows of docs that are not toxic (score < 0.5), with all their columns as they were, whatever their names.
+
+    Null and empty texts have no features; repeated rows go or stay together; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("boolean")
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
