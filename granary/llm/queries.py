@@ -109,7 +109,7 @@ ORACLES: dict[str, str] = {
         o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
         l AS (SELECT x, y FROM o JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
         r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id)) AS component_id, (SELECT count(*) FROM l WHERE l.x = doc_id) AS n_links
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id)) AS component_id
         FROM documents LEFT JOIN n USING (doc_id)
     """,
     # The tables' pages mark their article and hold these character references.
