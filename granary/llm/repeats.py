@@ -1,12 +1,14 @@
 """Suffix-array dedup: finds every string of LENGTH bytes that starts earlier in the corpus, and removes what it covers.
 
-1. Anchors. The anchor of a window of LENGTH bytes is its k-gram of least hash, the leftmost in a tie, and follows from
-   the window's bytes alone; equal windows have equal anchors. Windows that start next to each other mostly share
-   their anchor, and such a run of windows is a segment of LENGTH to LENGTH + 76 bytes. Anchors that occur once in the
-   corpus have no repeated windows.
+1. Anchors. The anchor of a window of LENGTH bytes is its k-gram of least hash, and follows from the window's bytes alone;
+   equal windows have equal anchors. Windows that start next to each other mostly share their anchor, and such a run of
+   windows is a segment of LENGTH to LENGTH + 76 bytes. A longer run holds its anchor several times; windows of it that
+   repeat what starts one period earlier (runs of one letter, rulers, tables) are known as repeats at once. Anchors that
+   occur once in the corpus have no other repeated windows.
 2. Segments of the other anchors are gathered by their bytes: equal segments become one, with the place of the first,
    in the map-side part of an aggregation, so a passage of very many copies arrives as one row from each task.
-3. Segments that share an anchor but differ (the ends of a passage) meet in groups of about a megabyte. A
+3. A segment that alone has its anchor is the first of its kind. Those that share an anchor but differ (the ends of a
+   passage) meet in groups of about a megabyte. A
    Burrows-Wheeler transform of a group is searched breadth first by backward extension, common prefixes come by
    increasing value up to LENGTH, and windows between which no shorter one lies are equal; the first of them stays.
    Anchors with many different segments (a common line) have their windows dealt by hash over the cluster instead.
@@ -20,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.bwt import equal_windows
-from granary.llm.common import kept_table, map_runs, whole
+from granary.llm.common import free, id_text, kept_table, map_runs, whole
 from granary.llm.shingles import _BASE, _BYTE, _powers, mix
 
 LENGTH, GRAM = 100, 24
 #: Different segments of one anchor that are searched together, at most; bytes of a group; bytes of texts hashed together.
 MOST_SEGMENTS, GROUP_BYTES, CHUNK = 64, 700_000, 1 << 20
 LAST_ID = (1 << 63) - 1
+#: Windows of a segment at most, where its anchor comes again and again.
+LONGEST = 512
 
 _power_table: list[np.ndarray] = []
 
@@ -43,11 +47,23 @@ def _gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: len(buf) - k + 1])
 
 
-def segments(texts: list[bytes], length: int = LENGTH, k: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text, in order: (hash of the anchor, first window, last window) of its segments."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def segments(texts: list[bytes], length: int = LENGTH, k: int = GRAM) -> Iterator[Found]:
+    """For each text, in order: (hash of the anchor, first window, last window) of its segments as three arrays, and the
+    (first, last) windows of stretches that repeat what starts a period earlier.
+
+    Short texts are worked on together, long ones in blocks, so the arrays in between are bounded.
+    """
     held: list[bytes] = []
     size = 0
     for t in texts:
+        if len(t) > 2 * CHUNK:
+            yield from _segments(held, length, k)
+            held, size = [], 0
+            yield _joined([_segments_at(t, a, min(a + CHUNK, len(t) - length + 1), length, k) for a in range(0, len(t) - length + 1, CHUNK)])
+            continue
         held.append(t)
         size += len(t)
         if size >= CHUNK:
@@ -56,62 +72,87 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = GRAM) -> Iterato
     yield from _segments(held, length, k)
 
 
-def _segments(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _segments_at(text: bytes, start: int, end: int, length: int, k: int) -> Found:
+    """Segments of a text's windows from start to before end."""
+    (h, first, last, inner), *_ = _segments([text[start : end + length - 1]], length, k)
+    return h, first + start, last + start, inner + start
+
+
+def _joined(parts: list[Found]) -> Found:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _segments(texts: list[bytes], length: int, k: int) -> Iterator[Found]:
+    none = np.zeros(0, np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < length:
-        yield from ((np.zeros(0, np.int64),) * 3 for _ in texts)
+        yield from ((none, none, none, none.reshape(0, 2)) for _ in texts)
         return
-    value = _gram_hashes(buf, k)
-    place = np.arange(len(value), dtype=np.int32)
+    grams = least = _gram_hashes(buf, k)
     width, wanted = 1, length - k + 1
-    while width < wanted:  # least hash of `width` grams, leftmost in a tie
+    while width < wanted:  # least hash of `width` grams
         step = min(width, wanted - width)
-        right = value[step:] < value[:-step]
-        place = np.where(right, place[step:], place[:-step])
-        value = np.minimum(value[step:], value[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
     # Windows that cross from one text to the next don't count.
-    inside = np.zeros(len(place) + 1, np.int32)
+    inside = np.zeros(len(least) + 1, np.int32)
     have = sizes >= length
     np.add.at(inside, begins[have], 1)
     np.add.at(inside, ends[have] - length + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
     opens = inside.copy()
-    opens[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
+    opens[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
     opens[begins[have]] = True
     shuts = inside.copy()
     shuts[:-1] &= opens[1:] | ~inside[1:]
     first, last = np.flatnonzero(opens), np.flatnonzero(shuts)
-    hashes = value[first].view(np.int64)
-    cut = np.searchsorted(first, np.concatenate([begins, ends[-1:]]))
-    for a, b, begin in zip(cut[:-1], cut[1:], begins):
-        yield hashes[a:b], first[a:b] - begin, last[a:b] - begin
+    hashes = least[first].view(np.int64)
+    inner = none.reshape(0, 2)
+    long = np.flatnonzero(last - first >= wanted)
+    if len(long):
+        parts = [_periodic(buf, grams, int(first[i]), int(last[i]), length, wanted) for i in long]
+        rest = np.ones(len(first), bool)
+        rest[long] = False
+        first = np.concatenate([first[rest], *(p[0][:, 0] for p in parts)])
+        last = np.concatenate([last[rest], *(p[0][:, 1] for p in parts)])
+        hashes = np.concatenate([hashes[rest], *(np.full(len(p[0]), hashes[i]) for i, p in zip(long, parts))])
+        order = np.argsort(first, kind="stable")
+        first, last, hashes = first[order], last[order], hashes[order]
+        inner = np.concatenate([p[1] for p in parts])
+    bounds = np.concatenate([begins, ends[-1:]])
+    cut, within = np.searchsorted(first, bounds), np.searchsorted(inner[:, 0], bounds)
+    for a, b, c, d, begin in zip(cut[:-1], cut[1:], within[:-1], within[1:], begins):
+        yield hashes[a:b], first[a:b] - begin, last[a:b] - begin, inner[c:d] - begin
+
+
+def _periodic(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of (first, last) windows of a run that share an anchor: segments, and stretches of repeats.
+
+    The period tried is the commonest distance of the anchor's places. Segments are cut at LONGEST windows.
+    """
+    inside = grams[first : last + wanted]
+    steps = np.diff(np.flatnonzero(inside == inside.min()))
+    period = int(np.bincount(steps).argmax())
+    differs = np.concatenate([[0], np.cumsum(buf[first + period : last + length] != buf[first : last + length - period])])
+    repeats = np.zeros(last - first + 1, bool)
+    if len(differs) > length:
+        repeats[period:] = differs[length:] == differs[:-length]
+    edge = np.flatnonzero(np.concatenate([[True], repeats[1:] != repeats[:-1], [True]]))
+    spans = np.stack([edge[:-1], edge[1:] - 1], 1) + first
+    again = repeats[edge[:-1]]
+    own = [(a, min(a + LONGEST, z + 1) - 1) for x, z in spans[~again].tolist() for a in range(x, z + 1, LONGEST)]
+    return np.array(own, np.int64).reshape(-1, 2), spans[again]
 
 
 def search_group(rows: list[tuple], length: int) -> list[tuple]:
-    """(doc, first, last) ranges of windows that are the first of their kind, from rows (h, seg, doc, pos)."""
-    out, several = [], []
-    rows.sort(key=lambda r: r[0])
-    at = 0
-    while at < len(rows):
-        end = at + 1
-        while end < len(rows) and rows[end][0] == rows[at][0]:
-            end += 1
-        if end == at + 1:
-            _, seg, doc, pos = rows[at]
-            out.append((int(doc), int(pos), int(pos) + len(seg) - length))
-        else:
-            several.extend(rows[at:end])
-        at = end
-    if not several:
-        return out
-    text, start, group = equal_windows([r[1] for r in several], length)
-    docs, places = np.array([r[2] for r in several], np.int64), np.array([r[3] for r in several], np.int64)
-    doc, place = docs[text], places[text] + start
-    order = np.lexsort((place, doc, group))
+    """(doc, t, first, last) ranges of windows that are the first of their kind, from rows (h, seg, doc, t, pos)."""
+    text, start, group = equal_windows([r[1] for r in rows], length)
+    docs, keys, places = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+    doc, key, place = docs[text], keys[text], places[text] + start
+    order = np.lexsort((place, key, doc, group))
     leads = np.ones(len(order), bool)
     leads[1:] = group[order][1:] != group[order][:-1]
     first = np.zeros(len(order), bool)
@@ -119,27 +160,27 @@ def search_group(rows: list[tuple], length: int) -> list[tuple]:
     edge = np.ones(len(first) + 1, bool)  # windows are in order of text and start
     edge[1:-1] = (first[1:] != first[:-1]) | (text[1:] != text[:-1])
     cut = np.flatnonzero(edge)
-    out.extend((int(doc[a]), int(place[a]), int(place[b - 1])) for a, b in zip(cut[:-1], cut[1:]) if first[a])
-    return out
+    return [(int(doc[a]), int(key[a]), int(place[a]), int(place[b - 1])) for a, b in zip(cut[:-1], cut[1:]) if first[a]]
 
 
-def _spans(found: tuple[np.ndarray, np.ndarray, np.ndarray], repeated: np.ndarray, keep: list, size: int, length: int) -> list[tuple[int, int]]:
+def _spans(found: Found, repeated: np.ndarray | None, keep: list | None, size: int, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that a removed window covers."""
-    h, first, last = found
-    windows = np.zeros(size + 2, np.int64)
-    hit = np.isin(h, repeated)
-    np.add.at(windows, first[hit], 1)
-    np.add.at(windows, last[hit] + 1, -1)
-    gone = np.cumsum(windows[:-1]) > 0
-    for a, b in keep:
+    h, first, last, inner = found
+    hit = np.isin(h, repeated) if repeated is not None else np.zeros(len(h), bool)
+    windows = np.zeros(size + 2, np.int8)  # a window is in one segment or stretch
+    np.add.at(windows, np.concatenate([first[hit], inner[:, 0]]), 1)
+    np.add.at(windows, np.concatenate([last[hit], inner[:, 1]]) + 1, -1)
+    gone = np.cumsum(windows[:-1], dtype=np.int8).astype(bool)
+    for a, b in keep if keep is not None else []:
         gone[a : b + 1] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if gone[0] else edge
     spans: list[list[int]] = []
-    for a, b in zip(edge[::2], edge[1::2]):
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         if spans and a <= spans[-1][1]:
-            spans[-1][1] = int(b) - 1 + length
+            spans[-1][1] = b - 1 + length
         else:
-            spans.append([int(a), int(b) - 1 + length])
+            spans.append([a, b - 1 + length])
     return [(a, b) for a, b in spans]
 
 
@@ -148,45 +189,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     A text is its UTF-8 bytes, null counts as empty. A byte is removed if a string of `length` bytes that covers it
     also starts earlier: in a document of smaller id, or further ahead in the same one. Strings are judged on the input
-    and never cross documents. Documents without an id count as one that comes last. Rows that repeat an id and text
-    have the same result; where an id has several texts, a place that is the first of its kind in one of them is kept
-    in all. Anchors are compared by 64-bit hashes; the strings themselves by their bytes, or, of anchors with very many
-    different surroundings, by 128-bit hashes.
+    and never cross documents. Documents without an id come last, and rows that share an id, or have none, in order of
+    a hash of their text; rows that repeat an id and text are one document, and have the same result. Very long texts
+    are worked on in blocks. Other columns are ignored, and an empty table gives an empty result. Anchors are compared
+    by 64-bit hashes; the strings themselves by their bytes, or, of anchors with very many different surroundings, by
+    128-bit hashes.
     """
     gram = min(GRAM, max(1, length // 4))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), whole(text_col).cast("binary").alias("b"))
+    key = ["doc", "t"]
+    rows = docs.select(id_text(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), whole(text_col).cast("binary").alias("b"))
+    rows = rows.withColumn("t", F.xxhash64("b", F.col("doc_id").isNull()))
+    able = rows.filter(F.octet_length("b") >= length)
 
     def anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"doc": p["doc"], "h": [h for h, _, _ in segments(p["b"], length, gram)]})
+            yield pd.DataFrame({"doc": p["doc"], "t": p["t"], "h": [h for h, *_ in segments(p["b"], length, gram)]})
 
-    all_anchors = rows.filter(F.octet_length("b") >= length).select("doc", "b").mapInPandas(anchors, "doc bigint, h array<bigint>").select("doc", F.explode("h").alias("h"))
+    all_anchors = able.select(*key, "b").mapInPandas(anchors, "doc bigint, t bigint, h array<bigint>").select(*key, F.explode("h").alias("h"))
     repeated = kept_table(all_anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeats-anchors")
-    per_doc = kept_table(all_anchors.join(repeated, "h").groupBy("doc").agg(F.collect_set("h").alias("hs")), "repeats-documents")
+    per_doc = kept_table(all_anchors.join(repeated, "h").groupBy(*key).agg(F.collect_set("h").alias("hs")), "repeats-documents")
+    free(repeated)
 
     def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["h", "seg", "doc", "t", "pos"]
         for p in parts:
             out: list[tuple] = []
-            for doc, b, hs, (h, first, last) in zip(p["doc"], p["b"], p["hs"], segments(p["b"], length, gram)):
+            for doc, t, b, hs, (h, first, last, _) in zip(p["doc"], p["t"], p["b"], p["hs"], segments(p["b"], length, gram)):
                 hit = np.isin(h, hs)
-                out.extend((x, b[i : j + length], doc, i) for x, i, j in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist()))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["h", "seg", "doc", "pos"])
-                    out = []
-            yield pd.DataFrame(out, columns=["h", "seg", "doc", "pos"])
-
-    places = rows.select("doc", "b").join(per_doc, "doc").mapInPandas(gather, "h bigint, seg binary, doc bigint, pos bigint")
-    firsts = places.groupBy("h", "seg").agg(F.min(F.struct("doc", "pos")).alias("p"))
-    firsts = kept_table(firsts.select("h", "seg", "p.doc", "p.pos"), "repeats-segments")
-    many = kept_table(firsts.groupBy("h").count().filter(F.col("count") > MOST_SEGMENTS).select("h"), "repeats-many")
-    total = firsts.agg(F.sum(F.octet_length("seg").cast("bigint")).alias("n")).first()["n"] or 0
-    few = firsts.join(many, "h", "left_anti").select(F.pmod(F.xxhash64("h"), F.lit(total // GROUP_BYTES + 1)).alias("group"), "h", "seg", "doc", "pos")
-    kept = map_runs(few, ["group"], [], lambda g: search_group(g, length), "doc bigint, first bigint, last bigint")
-    starts = F.sequence(F.lit(0), F.octet_length("seg") - length)
-    windows = firsts.join(many, "h", "left_semi").select("doc", "pos", "seg", F.explode(starts).alias("i"))
-    windows = windows.select(F.unhex(F.md5(F.substring("seg", F.col("i") + 1, F.lit(length)))).alias("w"), F.struct("doc", (F.col("pos") + F.col("i")).alias("at")).alias("p"))
-    spread = windows.groupBy("w").agg(F.min("p").alias("p")).select("p.doc", F.col("p.at").alias("first"), F.col("p.at").alias("last"))
-    keep = kept_table(kept.unionByName(spread).groupBy("doc").agg(F.collect_list(F.array("first", "last")).alias("keep")), "repeats-kept")
+                for x, i, j in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+                    out.append((x, b[i : j + length], doc, t, i))
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    places = able.select(*key, "b").join(per_doc, key).mapInPandas(gather, "h bigint, seg binary, doc bigint, t bigint, pos bigint")
+    firsts = places.groupBy("h", "seg").agg(F.min(F.struct("doc", "t", "pos")).alias("p"))
+    firsts = kept_table(firsts.select("h", "seg", "p.doc", "p.t", "p.pos"), "repeats-segments")
+    keep = kept_table(_firsts(firsts, length).groupBy(*key).agg(F.collect_list(F.array("first", "last")).alias("keep")), "repeats-kept")
+    free(firsts)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -194,12 +235,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 some = p.iloc[at : at + 500]
                 spans, left = [], []
                 for b, hs, keep_, found in zip(some["b"], some["hs"], some["keep"], segments(some["b"], length, gram)):
-                    s = _spans(found, hs, keep_ if keep_ is not None else [], len(b), length) if hs is not None else []
+                    s = _spans(found, hs, keep_, len(b), length) if hs is not None or len(found[3]) else []
                     spans.append([{"start": x, "end": y} for x, y in s])
                     ends = [0, *(v for x in s for v in x), len(b)]
-                    left.append(b"".join(b[x:y] for x, y in zip(ends[::2], ends[1::2])))
+                    left.append(b"".join(b[x:y] for x, y in zip(ends[::2], ends[1::2])) if s else b)
                 yield pd.DataFrame({"doc_id": some["doc_id"], "n_bytes": [len(b) for b in some["b"]], "spans": spans, "kept": left})
 
-    kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    facts = per_doc.join(keep, "doc", "left")
-    return rows.join(facts, "doc", "left").select("doc_id", "b", "hs", "keep").mapInPandas(cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
+    facts = per_doc.join(keep, key, "left")
+    done = rows.join(facts, key, "left").select("doc_id", "b", "hs", "keep").mapInPandas(cut, "doc_id string, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return done.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _firsts(segs: DataFrame, length: int) -> DataFrame:
+    """(doc, t, first, last) ranges of windows that are the first of their kind, from distinct segments and their places."""
+    many = kept_table(segs.groupBy("h").count().filter(F.col("count") > MOST_SEGMENTS).select("h"), "repeats-many")
+    total = segs.agg(F.sum(F.octet_length("seg").cast("bigint")).alias("n")).first()["n"] or 0
+    few = segs.join(many, "h", "left_anti").withColumn("group", F.pmod(F.xxhash64("h"), F.lit(total // GROUP_BYTES + 1))).repartition("group")
+    few = few.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("group", "h")))
+    alone = few.filter("c = 1").select("doc", "t", F.col("pos").alias("first"), (F.col("pos") + F.octet_length("seg") - length).alias("last"))
+    several = few.filter("c > 1").select("group", "h", "seg", "doc", "t", "pos")
+    found = map_runs(several, ["group"], [], lambda g: search_group(g, length), "doc bigint, t bigint, first bigint, last bigint", dealt=True)
+    starts = F.sequence(F.lit(0), F.octet_length("seg") - length)
+    windows = segs.join(many, "h", "left_semi").select("doc", "t", "pos", "seg", F.explode(starts).alias("i"))
+    windows = windows.select(F.unhex(F.md5(F.substring("seg", F.col("i") + 1, F.lit(length)))).alias("w"), F.struct("doc", "t", (F.col("pos") + F.col("i")).alias("at")).alias("p"))
+    spread = windows.groupBy("w").agg(F.min("p").alias("p")).select("p.doc", "p.t", F.col("p.at").alias("first"), F.col("p.at").alias("last"))
+    return alone.unionByName(found).unionByName(spread)
