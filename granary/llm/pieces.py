@@ -4,8 +4,10 @@ The best segmentation of a text into pieces maximises the sum of their scores. B
 a window of boundaries, as wide as the longest piece; what lies before the boundary on which all surviving paths agree
 is final, and its ids are committed. The window is all that a text of any length needs.
 
-No piece has a space mark after another character, so all paths meet at the start of each word: a text is encoded word
-by word, and the ids of short words are kept in a bounded table in each worker.
+A boundary that no piece spans (a word's start, as no piece has a space mark after another character, or two characters
+that stand side by side in no piece) is on every path, so the stream commits there without following backpointers. The
+ids between two commits depend on the characters between them alone; those of short stretches are kept in a bounded
+table in each worker. Stream(codec, known_boundaries=False) does without both, and finds the same segmentation.
 
 Scores: a unigram model's own. A BPE model has ranks in place of probabilities; its pieces are scored by Zipf's law,
 -log(rank + 2), so the segmentation is the likeliest under that law and not the sequence of merges. Characters that are
@@ -18,16 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 from math import log
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import whole
+from granary.llm.common import id_text, whole
 
 SPACE = "▁"
-KEEP_LENGTH, KEEP_COUNT = 24, 700_000
+#: Characters of a word whose ids are kept, and the memory for these in each worker, about.
+KEEP_LENGTH, KEEP_BYTES = 24, 200_000_000
 #: Texts encoded at a time, which bounds the lists of ids that are alive together.
 SOME = 200
 #: A byte piece costs as much as a very rare piece, so bytes spell only what nothing else does.
@@ -40,14 +44,37 @@ class Stream:
     Held are the text since the last commit, and for each boundary in it the best sum and where its last piece starts.
     """
 
-    def __init__(self, codec: PieceCodec):
-        self.codec = codec
+    def __init__(self, codec: PieceCodec, known_boundaries: bool = True):
+        self.codec, self.known_boundaries = codec, known_boundaries
         self.ids: list[int] = []
+        self.commits = 0
         self.text = ""
         self.best, self.back = [0.0], [0]
         self.tried = 0  # characters that the last commit left
 
     def feed(self, part: str) -> None:
+        """The next characters, with space marks for spaces."""
+        if not self.known_boundaries:
+            self._through_window(part)
+            return
+        c, at = self.codec, 0
+        for i in range(1 if self.text == "" else 0, len(part)):
+            before = part[i - 1] if i else self.text[-1]
+            if before + part[i] not in c.pairs:
+                self._meet(part[at:i])
+                at = i
+        self._through_window(part[at:])
+
+    def _meet(self, part: str) -> None:
+        """Commits all text up to the end of part, a boundary that every path has."""
+        if part:
+            self._through_window(part)
+        if self.text:
+            self._settle(len(self.text))
+            self.commits += 1
+            self.text, self.best, self.back, self.tried = "", [0.0], [0], 0
+
+    def _through_window(self, part: str) -> None:
         at, room = 0, 4 * self.codec.longest
         while at < len(part):
             # Paths of a long run of one character may not meet; ever larger steps keep the attempts few.
@@ -93,6 +120,7 @@ class Stream:
         end = live.pop()
         if end:
             self._settle(end)
+            self.commits += 1
             self.text = self.text[end:]
             self.best = [x - self.best[end] for x in self.best[end:]]
             self.back = [max(x - end, 0) for x in self.back[end:]]
@@ -143,23 +171,29 @@ class PieceCodec:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_bytes = 0
+        self.inexact = 0  # stretches whose ids do not decode to them; there are none, or an error is at hand
         self.mark_ids = tuple(self.byte[b] for b in SPACE.encode())
 
     def word(self, s: str) -> tuple[int, ...]:
+        """The ids of a word, which starts and ends where all paths meet; so do its parts between known boundaries."""
         found = self.known.get(s)
         if found is None:
-            # All paths meet also between characters that stand side by side in no piece.
-            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.pairs]
+            pairs = self.pairs
+            cuts = [i for i, pair in enumerate(map(add, s, s[1:]), 1) if pair not in pairs]
             if cuts:
                 found = tuple(chain.from_iterable(self.word(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)])))
             else:
-                stream = Stream(self)
+                stream = Stream(self, known_boundaries=False)  # there is none in it
                 stream.feed(s)
                 found = tuple(stream.close())
+                self.inexact += b"".join(map(self.bytes_of.__getitem__, found)).decode().replace(" ", SPACE) != s
             if len(s) <= KEEP_LENGTH:
-                if len(self.known) >= KEEP_COUNT:
+                if self.known_bytes > KEEP_BYTES:
                     self.known.clear()
+                    self.known_bytes = 0
                 self.known[s] = found
+                self.known_bytes += 220 + 2 * len(s) + 8 * len(found)
         return found
 
     def words(self, text: str) -> list[str]:
@@ -189,7 +223,10 @@ class PieceCodec:
                 else:
                     out.extend(chain.from_iterable(map(self.word, self.words(part))))
             return out
-        return list(chain.from_iterable(map(self.word, self.words(text))))
+        known, out = self.known, []
+        for w in self.words(text):
+            out.extend(known.get(w) or self.word(w))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode() if len(ids) else ""
@@ -207,7 +244,9 @@ def codec(model_file: str) -> PieceCodec:
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (array<int>), n_ids, exact (the ids decode to the very text).
 
-    A null text counts as empty and has no ids. One narrow pass; model_file is read on each executor.
+    A null text counts as empty and has no ids. Repeated rows are encoded each, a very long text needs the window and its
+    ids only, other columns are ignored, and an empty table gives an empty result. One narrow pass; model_file is read
+    on each executor. Ids of pieces decode one by one, so each word's are compared with the word when it is first met.
     """
 
     def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,12 +254,17 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         for p in parts:
             for at in range(0, len(p), SOME):
                 some = p.iloc[at : at + SOME]
-                ids = [np.fromiter(c.encode(t), np.int32) for t in some["t"]]
-                exact = [c.decode(x.tolist()) == t for x, t in zip(ids, some["t"])]
+                ids, exact = [], []
+                for t in some["t"]:
+                    before = c.inexact
+                    ids.append(np.fromiter(c.encode(t), np.int32))
+                    exact.append(c.inexact == before)
                 yield pd.DataFrame({"doc_id": some["doc_id"].array, "ids": ids, "n_ids": [len(x) for x in ids], "exact": exact})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
-    return rows.mapInPandas(encoded, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, n_ids int, exact boolean")
+    rows = docs.select(id_text(id_col).alias("doc_id"), whole(text_col).alias("t"))
+    found = rows.mapInPandas(encoded, "doc_id string, ids array<int>, n_ids int, exact boolean")
+    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode_documents(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
