@@ -69,6 +69,22 @@ def from_humaneval(df: DataFrame) -> DataFrame:
     return df.select(*_row(prompt, _text("canonical_solution"), difficulty=F.lit("medium"), domain=F.lit("code_generation"), source=F.lit("HumanEval"), task_id=F.coalesce("task_id", F.lit("")), entry_point=F.coalesce("entry_point", F.lit(""))))
 
 
+def math_fields(df: DataFrame) -> DataFrame:
+    """problem, solution, level, type, of rows that may have question and answer in place of the first two."""
+    either = lambda *names: F.coalesce(*(F.col(n) for n in names if n in df.columns), F.lit(""))
+    return df.select(either("problem", "question").alias("problem"), either("solution", "answer").alias("solution"), either("level").alias("level"), either("type").alias("type"))
+
+
+def field_text(path: str) -> Column:
+    """The text of a field, stripped; a dotted path leads through structs. A null on the way gives the empty text."""
+    from granary.functions.text import strip
+
+    found = F.col(f"`{path.split('.')[0]}`")
+    for name in path.split(".")[1:]:
+        found = found[name]
+    return strip(F.coalesce(found.cast("string"), F.lit("")))
+
+
 def from_math(df: DataFrame) -> DataFrame:
     prompt = _prompt("math", _text("problem"))
     return df.select(*_row(prompt, _text("solution"), difficulty=estimate_difficulty(F.lit("MATH"), F.col("level"), F.lit("")), domain=F.lit("mathematics"), source=F.lit("MATH"), level=_text("level"), type=_text("type")))

@@ -52,6 +52,13 @@ def lacking(df: DataFrame, key: str, least: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least)
 
 
+def unfinished(targets: DataFrame, df: DataFrame, key: str, target: str) -> DataFrame:
+    """Rows of targets whose key has fewer rows in df than its target says; complete ones are skipped."""
+    done = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    full = targets.join(done, F.col(key) == F.col("_key")).filter(F.col("_n") >= F.col(target)).select("_key").distinct()
+    return targets.join(full, F.col(key) == F.col("_key"), "left_anti")
+
+
 def merged_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, old, new, total: what each key of `old` gains."""
     a, b = (t.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for t, n in ((old, "old"), (new, "new")))

@@ -13,6 +13,12 @@ def first_of_key(df: DataFrame, key: Column, seq: str) -> DataFrame:
     return best.select(*[F.col(f"_r.c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
+def duplicate_rows(df: DataFrame, key: Column, seq: str) -> DataFrame:
+    """The rows that first_of_key leaves out: those after the first of their key, and those of null and empty keys."""
+    first = first_of_key(df, key, seq).select(F.col(seq).alias("_first"))
+    return df.join(first, F.col(seq) == F.col("_first"), "left_anti")
+
+
 def duplicate_counts(df: DataFrame, key: Column) -> DataFrame:
     """One row: unique, duplicates, rate = duplicates / rows (null for no rows). A null or empty key counts as a duplicate."""
     per = df.select(F.coalesce(key, F.lit("")).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ Documents stand for questions: text is the question, lang the domain, 1500 chara
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions import convert, records, repair, text
 from granary.operators import balance, dedup, metrics, near, quality, sampling
 from granary.session import table
+from granary.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,9 +197,79 @@ def manifest_totals(spark, sf):
     return quality.manifest(table(spark, sf, "documents"), F.col("source"))
 
 
+@query(f"WITH {Q}, r AS (SELECT seq, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY seq) AS n, trim(question) = '' AS e FROM q WHERE question IS NOT NULL) SELECT seq FROM r WHERE n > 1 OR e UNION ALL SELECT seq FROM q WHERE question IS NULL")
+def duplicate_rows(spark, sf):
+    return dedup.duplicate_rows(questions(spark, sf).select("seq", "question"), text.dedup_key(F.col("question")), "seq").select("seq")
+
+
+@query("WITH t AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), d AS (SELECT lang, count(*) AS n FROM documents WHERE n_chars < 1500 GROUP BY lang) SELECT lang, t.n - 10 AS target FROM t LEFT JOIN d USING (lang) WHERE coalesce(d.n, 0) < t.n - 10")
+def unfinished_domains(spark, sf):
+    d = table(spark, sf, "documents")
+    targets = d.groupBy("lang").agg((F.count(F.lit(1)) - 10).alias("target"))
+    return balance.unfinished(targets, d.filter("n_chars < 1500"), "lang", "target")
+
+
+@query("SELECT md5(text) AS problem, md5(concat('answer ', item_id)) AS solution, '' AS level, '' AS type FROM benchmark")
+def math_fields(spark, sf):
+    b = table(spark, sf, "benchmark")
+    odd, answer = F.col("item_id") % 2 == 1, F.concat(F.lit("answer "), "item_id")
+    rows = b.select(F.when(odd, F.col("text")).alias("problem"), F.when(~odd, F.col("text")).alias("question"), F.when(odd, answer).alias("solution"), F.when(~odd, answer).alias("answer"))
+    return convert.math_fields(rows).select(F.md5("problem").alias("problem"), F.md5("solution").alias("solution"), "level", "type")
+
+
+@query("SELECT conv_id, turn, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS question FROM conversations")
+def nested_questions(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.struct(F.struct("text").alias("inner")).alias("item"))
+    return rows.select("conv_id", "turn", F.md5(convert.field_text("item.inner.text")).alias("question"))
+
+
+def _back(spark, name, write, read):
+    """What `read` gives of what `write` put into a folder of its own, which is shared by all executors."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return read(path)
+
+
+_DOCUMENTS = "SELECT doc_id, md5(text) AS text_hash, lang, source FROM documents"
+
+
+@query(_DOCUMENTS)
+def json_lines_back(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    rows = _back(spark, "lines", lambda p: writers.jsonl(d, p), lambda p: readers.jsonl(spark, p, "doc_id bigint, text string, lang string, source string"))
+    return rows.select("doc_id", F.md5("text").alias("text_hash"), "lang", "source")
+
+
+@query(_DOCUMENTS)
+def gzip_lines_back(spark, sf):
+    """Compressed lines, read with bad lines dropped."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    rows = _back(spark, "gzip", lambda p: d.write.option("compression", "gzip").json(p), lambda p: readers.jsonl(spark, f"{p}/*.gz", "doc_id bigint, text string, lang string, source string", "drop"))
+    return rows.select("doc_id", F.md5("text").alias("text_hash"), "lang", "source")
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def routed_back(spark, sf):
+    """A folder for each language and source, read again as columns."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    rows = _back(spark, "routed", lambda p: writers.routed(d, p, "lang", "source"), lambda p: spark.read.schema("doc_id bigint, lang string, source string").json(p))
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (doc_id % 3 = 0) AS BIGINT) AS bad FROM documents")
+def bad_lines_of_parts(spark, sf):
+    """Lines cut off in their middle, counted over the files written."""
+    d = table(spark, sf, "documents")
+    line = F.to_json(F.struct("doc_id", "text"))
+    cut = d.select(F.when(F.col("doc_id") % 3 == 0, F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line).alias("value"))
+    rows = _back(spark, "bad", lambda p: cut.write.text(p), lambda p: readers.bad_lines(spark, p, "doc_id bigint, text string"))
+    return rows.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+
+
 # Sampling, splits and batches
 
-CAP = 7500
+#: Below the rows of the larger domains at every scale at hand, so that it binds; the corpus balance itself uses 7500.
+CAP = 40
 
 
 @query(f"WITH {Q}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {RANK}, seq) AS rn FROM q) SELECT seq, domain FROM r WHERE rn <= {CAP}")
@@ -307,13 +379,15 @@ def strip_tags_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"))).alias("text_hash"))
 
 
-def _tagged(spark, sf, most=80):
+def _tagged(spark, sf):
     q = questions(spark, sf)
-    part = lambda tag, keep: F.when(keep, text.wrap_tag(F.left("question", F.lit(most)) if most else F.col("question"), tag)).otherwise(F.lit(""))
+    part = lambda tag, keep: F.when(keep, text.wrap_tag(F.col("question"), tag)).otherwise(F.lit(""))
     return q.select("seq", "domain", "difficulty", F.col("question").alias("prompt"), part("draft", F.col("seq") % 2 == 0).alias("draft"), part("thinking", F.col("seq") % 3 == 0).alias("thinking"), text.wrap_tag(F.col("question"), "response").alias("response"))
 
 
-_TAGGED = f"{Q}, t AS (SELECT seq, domain, difficulty, CASE WHEN seq % 2 = 0 THEN trim(left(question, 80), ' \n\t') ELSE '' END AS d, CASE WHEN seq % 3 = 0 THEN trim(left(question, 80), ' \n\t') ELSE '' END AS k, trim(question, ' \n\t') AS r FROM q)"
+_TAGGED = f"{Q}, t AS (SELECT seq, domain, difficulty, CASE WHEN seq % 2 = 0 THEN trim(question, ' \n\t') ELSE '' END AS d, CASE WHEN seq % 3 = 0 THEN trim(question, ' \n\t') ELSE '' END AS k, trim(question, ' \n\t') AS r FROM q)"
+
+
 
 
 @query(
@@ -330,24 +404,6 @@ def cleaned_stats(spark, sf):
     return quality.cleaned_stats(rows, "prompt", "response", F.col("difficulty"))
 
 
-_TAGGED_WHOLE = _TAGGED.replace("left(question, 80)", "question")
-
-
-@query(
-    f"WITH {_TAGGED_WHOLE} SELECT seq, md5(CASE WHEN difficulty <> 'hard' THEN r WHEN d <> '' AND k <> '' AND r <> '' THEN concat('Let me work through this step by step:\n\n', d, '\n\nChecking my reasoning:\n', k, '\n\nFinal answer:\n', r) "
-    "WHEN d <> '' AND r <> '' THEN concat('Let me work through this:\n\n', d, '\n\nFinal answer:\n', r) WHEN k <> '' AND r <> '' THEN concat('Analyzing this problem:\n\n', k, '\n\nFinal answer:\n', r) ELSE r END) AS response_hash FROM t"
-)
-def clean_easy_hard_template_whole(spark, sf):
-    """As clean_easy_hard_template, with whole sections."""
-    return records.clean_training_rows(_tagged(spark, sf, None), F.col("difficulty")).select("seq", F.md5("response").alias("response_hash"))
-
-
-@query(f"WITH {_TAGGED_WHOLE} SELECT count(*) AS total, count(*) FILTER (difficulty = 'easy') AS easy, count(*) FILTER (difficulty = 'hard') AS hard, CAST(0 AS BIGINT) AS other, CAST(0 AS BIGINT) AS missing_prompt, count(*) FILTER (r = '') AS missing_response, count(*) FILTER (regexp_matches(r, '(?i)</?[a-z]+>')) AS has_markup, round(avg(length(r)), 6) AS avg_length FROM t")
-def cleaned_stats_whole(spark, sf):
-    rows = _tagged(spark, sf, None).withColumn("response", records.easy_response(F.col("response")))
-    return quality.cleaned_stats(rows, "prompt", "response", F.col("difficulty"))
-
-
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS tokens, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS collapsed FROM documents")
 def whitespace_token_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"), F.md5(text.collapse_space(F.col("text"))).alias("collapsed"))
@@ -434,14 +490,6 @@ def headed_sections(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", repair.sections(raw).alias("s")).select("item_id", "s.*")
 
 
-@query(
-    "WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> '' AND NOT contains(text, '\n')) SELECT doc_id, md5(concat('<draft>', left(text, n // 3), '</draft>')) AS draft, md5(concat('<thinking>', substring(text, n // 3 + 1, n * 2 // 3 - n // 3), '</thinking>')) AS thinking, md5(concat('<response>', substring(text, n * 2 // 3 + 1), '</response>')) AS response FROM t"
-)
-def thirds_of_texts(spark, sf):
-    rows = table(spark, sf, "documents").filter("text <> '' and not contains(text, '\n')").select("doc_id", repair.sections(F.col("text")).alias("s"))
-    return rows.select("doc_id", *[F.md5(f"s.{k}").alias(k) for k in ("draft", "thinking", "response")])
-
-
 @query()
 def sections_of_texts(spark, sf):
     """Of all documents, whichever way their sections are found; empty texts have none."""
@@ -460,11 +508,11 @@ def convert_benchmark_validation(spark, sf):
 
 
 @query(
-    "SELECT concat('Answer the following multiple choice question from formal logic.\n\nQuestion: ', trim(text), '\n\nA. ', left(text, 5), '\nB. b\nC. c\nD. d\n\nAnswer:') AS prompt, CASE item_id % 5 WHEN 0 THEN 'A. ' || left(text, 5) WHEN 1 THEN 'B. b' WHEN 2 THEN 'C. c' ELSE 'D. d' END AS response, "
+    "SELECT concat('Answer the following multiple choice question from formal logic.\n\nQuestion: ', trim(text), '\n\nA. ', text, '\nB. b\nC. c\nD. d\n\nAnswer:') AS prompt, CASE item_id % 5 WHEN 0 THEN 'A. ' || text WHEN 1 THEN 'B. b' WHEN 2 THEN 'C. c' ELSE 'D. d' END AS response, "
     "CAST(item_id % 5 AS INTEGER) AS answer_index, 'hard' AS difficulty FROM benchmark WHERE item_id % 5 < 4"
 )
 def mmlu_style_prompt(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("text").alias("question"), F.array(F.left("text", F.lit(5)), F.lit("b"), F.lit("c"), F.lit("d"), F.lit("e")).alias("choices"), (F.col("item_id") % 5).cast("int").alias("answer"), F.lit("formal_logic").alias("subject"))
+    b = table(spark, sf, "benchmark").select(F.col("text").alias("question"), F.array(F.col("text"), F.lit("b"), F.lit("c"), F.lit("d"), F.lit("e")).alias("choices"), (F.col("item_id") % 5).cast("int").alias("answer"), F.lit("formal_logic").alias("subject"))
     return convert.from_mmlu(b).select("prompt", "response", "metadata.answer_index", "metadata.difficulty")
 
 
@@ -496,14 +544,8 @@ def chat_render(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", records.chat_text(F.col("t")).alias("chat"))
 
 
-@query(f"WITH {Q} SELECT seq // 25 AS batch, md5(string_agg(concat('Question ', seq % 25 + 1, ': ', left(question, 50)), '\n\n' ORDER BY seq)) AS prompt_hash FROM q GROUP BY 1")
-def batch_prompts(spark, sf):
-    q = questions(spark, sf).select(F.expr("seq div 25").alias("batch"), "seq", F.left("question", F.lit(50)).alias("question"))
-    return records.batch_prompt(q, "batch", "seq", "question").select("batch", F.md5("prompt").alias("prompt_hash"))
-
-
 @query(f"WITH {Q} SELECT seq // 25 AS batch, md5(string_agg(concat('Question ', seq % 25 + 1, ': ', question), '\n\n' ORDER BY seq)) AS prompt_hash FROM q GROUP BY 1")
-def batch_prompts_whole(spark, sf):
+def batch_prompts(spark, sf):
     """As batch_prompts, with whole questions."""
     q = questions(spark, sf).select(F.expr("seq div 25").alias("batch"), "seq", "question")
     return records.batch_prompt(q, "batch", "seq", "question").select("batch", F.md5("prompt").alias("prompt_hash"))
@@ -512,7 +554,7 @@ def batch_prompts_whole(spark, sf):
 @query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS token_count, 'easy' AS difficulty, lang AS domain, false AS requires_reasoning FROM documents")
 def easy_records(spark, sf):
     d = table(spark, sf, "documents")
-    rows = d.select("doc_id", *records.easy_record(F.left("text", F.lit(50)), F.col("text"), F.col("lang"), "stub"))
+    rows = d.select("doc_id", *records.easy_record(F.col("text"), F.col("text"), F.col("lang"), "stub"))
     return rows.select("doc_id", "metadata.token_count", "metadata.difficulty", "metadata.domain", "metadata.requires_reasoning")
 
 
@@ -638,7 +680,6 @@ def hourly_event_counts(spark, sf):
 @query(f"WITH {Q} SELECT min(seq) AS seq, md5(lower(trim(question))) AS key FROM q GROUP BY lower(trim(question))")
 def stream_dedup_ledger(spark, sf):
     """A file stream through micro-batches with a ledger; the final table is the first row of each key."""
-    import uuid
 
     from granary.streaming.incremental import files, process_pending
 
@@ -684,16 +725,8 @@ def user_sessions(spark, sf):
     return sessions(table(spark, sf, "events"), "ts", "user_id").select("user_id", "n")
 
 
-@query("WITH c AS (SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE doc_id % 7 < 5 GROUP BY source) SELECT source, n, row_number() OVER (ORDER BY n DESC, first_id) AS place FROM c")
-def counts_in_order(spark, sf):
-    """Most first; ties in the order of first appearance."""
-    c = table(spark, sf, "documents").filter("doc_id % 7 < 5").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("f"))
-    return c.select("source", "n", big(F.row_number().over(Window.orderBy(F.desc("n"), "f"))).alias("place"))  # one row a source
-
-
 @query("WITH c AS (SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source) SELECT source, n, row_number() OVER (ORDER BY n DESC, first_id) AS place FROM c")
-def counts_in_order_of_all(spark, sf):
-    """As counts_in_order, over the whole table."""
+def counts_in_order(spark, sf):
     c = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("f"))
     return c.select("source", "n", big(F.row_number().over(Window.orderBy(F.desc("n"), "f"))).alias("place"))  # one row a source
 
@@ -740,7 +773,10 @@ def failed_rows(spark, sf):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of our own only where the session names none."""
+    """The folder that all executors share; a temporary one of our own only in local mode, where the session names none."""
     import tempfile
 
+    master = spark.sparkContext.master
+    if not spark.conf.get("spark.checkpoint.dir", None) and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")).rstrip("/")
