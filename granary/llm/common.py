@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +95,48 @@ def few(parts: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[pd.DataFrame
             yield p.iloc[at : at + rows]
 
 
+#: What this Python worker keeps from one task to the next, by name.
+_kept_here: dict[str, Any] = {}
+
+
+def give_back() -> None:
+    """Memory that Python and Arrow have freed but hold on to goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def kept_here(name: str, make: Callable[[], Any] | None = None) -> Any:
+    """What the worker keeps under `name`, made on first use. All that is kept under other names goes.
+
+    Workers serve the tasks of all operators in turn, so tables that one operator bounds would otherwise add up with
+    those of the others.
+    """
+    if _kept_here.keys() - {name}:
+        for other in _kept_here.keys() - {name}:
+            del _kept_here[other]
+        gc.collect()
+        give_back()
+    if make and name not in _kept_here:
+        _kept_here[name] = make()
+    return _kept_here.get(name)
+
+
+def frugal(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """work for mapInPandas, in a worker that keeps nothing before it and nothing after it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_here("")
+        try:
+            yield from work(parts)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Bits of the map of ids by which rows are sifted: 2^26 bits are 2048 rows of 4 KB, whatever the input.
 SIFT_BITS = 1 << 26
 
@@ -131,4 +177,4 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[l
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(work(held) if held else [], columns=names)
 
-    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(frugal(run), schema)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import few, free, id_text, kept_table, map_runs, packed, sift, unpacked, whole
+from granary.llm.common import few, free, frugal, id_text, kept_table, map_runs, packed, sift, unpacked, whole
 from granary.llm.components import connected_components
 from granary.llm.shingles import WORDS, shingle_sets
 
@@ -281,7 +281,7 @@ def _described(rows: DataFrame, words: int) -> DataFrame:
             sets = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in shingle_sets(p["text"], words)]
             yield pd.DataFrame({"doc": p["doc"], "n": [n for n, _ in sets], "sig": [d for _, d in sets]})
 
-    found = rows.select(id_text("doc").alias("doc"), "text").mapInPandas(describe, "doc string, n bigint, sig binary")
+    found = rows.select(id_text("doc").alias("doc"), "text").mapInPandas(frugal(describe), "doc string, n bigint, sig binary")
     return found.select(F.col("doc").cast("bigint").alias("doc"), "n", "sig")
 
 
@@ -293,7 +293,7 @@ def _clusters(rows: DataFrame, classes: DataFrame, num: int, den: int, words: in
             sets = [(len(s), s[: signature_length(len(s), num, den)].copy()) for s in shingle_sets(p["text"], words)]
             yield pd.DataFrame({"doc": p["doc"], "n": [n for n, _ in sets], "h": [h for _, h in sets]})
 
-    signed = rows.mapInPandas(sign, "doc bigint, n bigint, h array<bigint>").select("doc", "n", F.explode("h").alias("h"))
+    signed = rows.mapInPandas(frugal(sign), "doc bigint, n bigint, h array<bigint>").select("doc", "n", F.explode("h").alias("h"))
     counts = kept_table(signed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "join-counts")
     least = F.expr(f"1 + ((n * {num}) div {den} + if((n * {num}) % {den} > 0, 1, 0)) div 10")  # shared_least
     shared = signed.join(counts, "h").groupBy("doc").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("l"))
@@ -318,7 +318,7 @@ def _members(rows: DataFrame, clusters: DataFrame, classes: DataFrame, words: in
 
     of = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     met = sift(rows, "doc", clusters.select("node")).join(of, "doc")
-    sets = met.mapInPandas(sets_of, "doc bigint, cluster bigint, sig binary, n bigint, shingles binary").filter("n > 0")
+    sets = met.mapInPandas(frugal(sets_of), "doc bigint, cluster bigint, sig binary, n bigint, shingles binary").filter("n > 0")
     sets = sets.join(classes.select("sig", F.col("rep").alias("doc"), "copies"), ["sig", "doc"]).dropDuplicates(["sig", "doc"])
     return sets.select("doc", "cluster", "n", "copies", "shingles", F.floor(F.log(SIZE_STEP, F.col("n"))).alias("g"))
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import id_text, whole
+from granary.llm.common import id_text, kept_here, whole
 
 SPACE = "▁"
 #: Characters of a word whose ids are kept, and the memory for these in each worker, about.
@@ -232,13 +232,8 @@ class PieceCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode() if len(ids) else ""
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(model_file: str) -> PieceCodec:
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+    return kept_here(f"pieces {model_file}", lambda: PieceCodec(model_file))
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

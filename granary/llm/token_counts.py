@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import whole
+from granary.llm.common import kept_here, whole
 
 SPACE = "▁"
 #: Stretches longer than this are counted anew each time; the table of counts is emptied when it is full.
@@ -126,13 +126,8 @@ class PieceCounter:
         return total + (s.count("\n") if "\n" not in self.inner else 0)
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(model_file: str) -> PieceCounter:
-    if model_file not in _counters:
-        _counters[model_file] = PieceCounter(model_file)
-    return _counters[model_file]
+    return kept_here(f"tokens {model_file}", lambda: PieceCounter(model_file))
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import whole
+from granary.llm.common import frugal, kept_here, whole
 from granary.llm.labelled import held_out, training_texts
 
 #: Documents learned from, at most; documents and likelihood ratio that a feature needs.
@@ -122,7 +122,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", q
     a, b, n = F.col("toxic"), F.col("clean"), float(nt + nc)
     part = lambda o, row, col: F.when(o > 0, o * F.log(o * n / (row * F.lit(float(col))))).otherwise(0.0)
     ratio = 2 * (part(a, a + b, nt) + part(b, a + b, nc) + part(nt - a, n - a - b, nt) + part(nc - b, n - a - b, nc))
-    counts = texts.mapInPandas(count_batches, "f string, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = texts.mapInPandas(frugal(count_batches), "f string, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = counts.filter((a >= LEAST_DOCS) & (a * nc > b * nt)).withColumn("g", ratio).filter(F.col("g") > LEAST_RATIO)
     names = [r["f"] for r in chosen.orderBy(F.desc("g"), "f").collect()]  # words that are telling in `most` documents
     model = Model({f: i for i, f in enumerate(names)}, np.zeros(len(names)), np.array([40.0, 41.0]))
@@ -132,7 +132,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", q
             found = [model.vector(t) for t in p["text"]]
             yield pd.DataFrame({"i": [list(x) for x in found], "v": [list(x.values()) for x in found], "y": p["y"]})
 
-    train = texts.mapInPandas(vectors, "i array<int>, v array<double>, y int").toPandas()  # `most` rows at most, each of few features
+    train = texts.mapInPandas(frugal(vectors), "i array<int>, v array<double>, y int").toPandas()  # `most` rows at most, each of few features
     rows = np.repeat(np.arange(len(train)), train["i"].map(len))
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in train[c]]) if len(rows) else np.zeros(0, kind)
     model.weights, model.thresholds = _fit(rows, flat("i", np.int64), flat("v", float), train["y"].to_numpy(), len(names), 3)
@@ -149,6 +149,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("array<double>")
     def exceeds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept_here("")
         for s in parts:
             yield s.map(lambda t: model.exceeds(t).tolist())
 
@@ -166,6 +167,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     @F.pandas_udf("boolean")
     def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept_here("")
         for s in parts:
             yield s.map(lambda t: bool(model.exceeds(t)[0] >= 0.5)).astype(bool)
 

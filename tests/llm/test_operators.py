@@ -764,3 +764,17 @@ def test_sift_keeps_all_and_few_others(spark):
     ids = spark.range(0, 100_000, 7).toDF("id")
     kept = {r.doc for r in sift(spark.range(-50, 100_000).toDF("doc"), "doc", ids).collect()}
     assert set(range(0, 100_000, 7)) <= kept and len(kept) < 14_286 + 60
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    from granary.llm import common
+
+    made = []
+
+    def make():
+        made.append(len(made))
+        return made[-1]
+
+    assert [common.kept_here("a", make), common.kept_here("a", make), common.kept_here("b", make), common.kept_here("a", make)] == [0, 0, 1, 2]
+    assert common.kept_here("") is None and not common._kept_here
+    assert list(common.frugal(lambda parts: (p + 1 for p in parts))(iter([1, 2]))) == [2, 3]
