@@ -111,3 +111,10 @@ def preview(c: Column, n: int = 200) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.try_divide(part * F.lit(100.0), whole), digits)
+
+
+def ascii_json(json: Column) -> Column:
+    """JSON with each character that is not printable ASCII as one \\uXXXX escape, or two beyond the basic plane."""
+    escape = F.lit("\\\\u$1")
+    one = lambda c: F.when(F.ascii(c) < 127, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), F.lit("(....)"), escape))
+    return F.when(json.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(F.split(json, ""), one), "")).otherwise(json)

@@ -14,7 +14,6 @@ No row is made for a pair that does not link. Sets are compared by 64-bit hashes
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from fractions import Fraction
@@ -24,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.session import forget, shared_dir
+
 #: Elements of a group beyond which it is cut into blocks; links of a frame that a task gives out; bits of the map of classes.
 MOST, FRAME, MAP_BITS = 3_000_000, 100_000, 1 << 26
 
@@ -38,11 +39,14 @@ def _kept(df: DataFrame, root: str, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
 
 
 def _components(edges: DataFrame, root: str) -> DataFrame:
     """(node, component) by large-star and small-star steps, until only stars remain."""
+    spark = edges.sparkSession
     now = _kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), root, "star")
     state = None
     while True:
@@ -51,11 +55,12 @@ def _components(edges: DataFrame, root: str) -> DataFrame:
             break
         state = (facts["n"], facts["h"])
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), root, "star")
-        large = _kept(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), root, "star")
+        first = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), root, "star")
+        large = _kept(both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), root, "star")
         least = _kept(large.groupBy("a").agg(F.min("b").alias("m")), root, "star")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = _kept(small.select("e.a", "e.b").filter("a <> b").distinct(), root, "star")
+        before, now = now, _kept(small.select("e.a", "e.b").filter("a <> b").distinct(), root, "star")
+        forget(spark, *(x.kept_at for x in (before, first, large, least)))
     tops = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
 
@@ -106,7 +111,7 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
     t = Fraction(str(least))
     if not 0 < t <= 1:
         raise ValueError("thresholds above 0, to 1, are supported")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")).rstrip("/") + "/granary"
+    root = f"{shared_dir(spark)}/granary"
     kind = dict(sets.dtypes)["id"]
     sets = sets.filter(F.col("id").isNotNull() & (F.size("s") > 0)).select("id", F.sort_array("s").alias("s"))
     sets = _kept(sets.select("id", F.xxhash64("s").alias("node"), "s"), root, "sets")
@@ -123,6 +128,7 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
     entries = lists.select("node", F.explode("l").alias("h"))
     heads = _kept(entries.groupBy("h").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "head"), root, "heads")
     clusters = _kept(_components(entries.join(heads, "h").select(F.col("node").alias("a"), F.col("head").alias("b")), root), root, "clusters")
+    forget(spark, *(x.kept_at for x in (counts, lists, heads)))
 
     # Sizes of linked sets differ by 1 / t at most, so that these numbers are equal or one apart.
     step = 1.04 / float(t)

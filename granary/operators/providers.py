@@ -114,3 +114,52 @@ def aligned(questions: DataFrame, answers: DataFrame, keys: list[str], array: st
 def failed(df: DataFrame, question: str, difficulty: Column, answer: str, error: str = "no answer") -> DataFrame:
     """Rows without an answer, as an error table."""
     return df.filter(F.col(answer).isNull()).select(F.left(question, F.lit(100)).alias("question"), difficulty.alias("difficulty"), F.lit(error).alias("error"))
+
+
+def table_function(df: DataFrame, keys: list[str], column: str, expand: Callable[[str | None], list[tuple]], schema: str, at_once: int = 10_000) -> DataFrame:
+    """keys and the rows of `schema` that expand(value) gives for each row, none or many. Keys keep their types."""
+    names = [x.split()[0] for x in schema.split(",")]
+    kinds = dict(df.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out: list[tuple] = []
+            for key, value in zip(p["_keys"], p[column]):
+                out.extend((key, *row) for row in expand(value))
+                if len(out) >= at_once:
+                    yield pd.DataFrame(out, columns=["_keys", *names])
+                    out = []
+            yield pd.DataFrame(out, columns=["_keys", *names])
+
+    # Keys go through Python as JSON, so that no null turns them into floats.
+    packed = df.select(F.to_json(F.struct(*keys)).alias("_keys"), column)
+    got = packed.mapInPandas(run, f"_keys string, {schema}")
+    return got.select(F.from_json("_keys", ", ".join(f"`{k}` {kinds[k]}" for k in keys)).alias("_k"), *names).select("_k.*", *names)
+
+
+def aggregate_function(df: DataFrame, key: str, column: str, state: Callable[[pd.Series], bytes], merge: Callable[[bytes, bytes], bytes], salts: int = 16) -> DataFrame:
+    """key (as text), state: an aggregate of one's own, merged like Spark's. state(values) is made of each batch's rows of a
+    key before they are shuffled; merge(a, b), in any order, first by key and salt, so that a hot key is spread, then by key.
+    """
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(None if k != k else k, state(g[column])) for k, g in p.groupby("key", dropna=False)], columns=["key", "state"])
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        for p in parts:
+            out = []
+            for k, s in zip(p["key"], p["state"]):
+                if now is not None and now[0] == k:
+                    now = (k, merge(now[1], s))
+                else:
+                    out += [now] if now is not None else []
+                    now = (k, s)
+            yield pd.DataFrame(out, columns=["key", "state"])
+        yield pd.DataFrame([now] if now is not None else [], columns=["key", "state"])
+
+    schema = "key string, state binary"
+    got = df.select(F.col(key).cast("string").alias("key"), column).mapInPandas(partial, schema).withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    got = got.repartition("key", "_s").sortWithinPartitions("key", "_s").select("key", "state").mapInPandas(fold, schema)
+    return got.repartition("key").sortWithinPartitions("key").mapInPandas(fold, schema).select(F.col("key").alias(key), "state")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import has_markup, quality_issues
+from granary.functions.text import has_markup, quality_issues, strip
 
 
 def _empty(c: Column) -> Column:
@@ -22,6 +22,36 @@ def cleaned_stats(df: DataFrame, prompt: str, response: str, difficulty: Column)
     )
 
 
+def cleaned_by_domain(df: DataFrame, domain: str) -> DataFrame:
+    """domain ('Unknown' where null), n, percent of all rows."""
+    per = distribution(df, F.coalesce(F.col(domain), F.lit("Unknown")), "domain")
+    total = per.agg(F.sum("n").alias("_total"))  # one row
+    return per.crossJoin(F.broadcast(total)).select("domain", "n", F.round(F.col("n") * 100.0 / F.col("_total"), 6).alias("percent"))
+
+
+def long_enough(text: Column, least: int = 10) -> Column:
+    """Raw text of at least so many characters, before any formatting; null is too short."""
+    return F.coalesce(F.char_length(text) >= least, F.lit(False))
+
+
+def complete(*fields: Column) -> Column:
+    """No field is null or only spaces."""
+    kept = F.lit(True)
+    for f in fields:
+        kept = kept & F.coalesce(strip(f) != "", F.lit(False))
+    return kept
+
+
+def of_kinds(kind: Column, *kinds: str) -> Column:
+    """The field in lower case is one of the kinds."""
+    return F.coalesce(F.lower(kind).isin(*kinds), F.lit(False))
+
+
+def serializable(df: DataFrame) -> DataFrame:
+    """Rows that can be written as JSON: all of them, as every type of a column has a JSON form."""
+    return df
+
+
 def training_stats(df: DataFrame, prompt: str, response: str, metadata: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(_empty(F.col(prompt))).alias("missing_prompt"), F.count_if(_empty(F.col(response))).alias("missing_response"), F.count_if(F.col(metadata).isNull()).alias("missing_metadata"))
 
@@ -70,6 +100,13 @@ def manifest(df: DataFrame, name: Column) -> DataFrame:
     return df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("benchmarks"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_questions"))
 
 
+def manifest_status(df: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """One row: benchmarks, succeeded (of one row or more), failed, total_questions, of the expected names (a small table)."""
+    got = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    per = expected.select(name).distinct().join(got, name, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("benchmarks"), F.count_if(F.col("n") > 0).alias("succeeded"), F.count_if(F.col("n") == 0).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_questions"))
+
+
 def composition(df: DataFrame, group: Column, seq: str, domain: str, difficulty: Column) -> DataFrame:
     """Each group's rows, and the domain and difficulty of its first row."""
     return df.groupBy(group.alias("name")).agg(F.count(F.lit(1)).alias("total"), F.min_by(domain, seq).alias("domain"), F.min_by(difficulty, F.col(seq)).alias("difficulty"))

@@ -108,6 +108,16 @@ def episodes(df: DataFrame, domain: str, tasks: int, support: int, query: int, s
     return enough.unionByName(few)
 
 
+def mixed_tasks(df: DataFrame, domain: str, kind: Column, mix: dict[str, int], seed: int, id_col: str) -> DataFrame:
+    """domain, id, kind, role: one task for each domain, with so many support rows of each kind as `mix` says, and as many others
+    for its query. What a domain lacks is lacking in the query first."""
+    most = max(mix.values())
+    ranked = df.select(domain, F.col(id_col), kind.alias("kind")).withColumn("_rn", F.row_number().over(Window.partitionBy(domain, "kind").orderBy(shuffle_key(seed, id_col), id_col)))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for kv in mix.items() for x in kv]), F.col("kind"))
+    near = ranked.filter(F.col("_rn") <= 2 * most).filter(F.col("kind").isin(*mix)).filter(F.col("_rn") <= 2 * wanted)
+    return near.select(domain, id_col, "kind", F.when(F.col("_rn") <= wanted, "support").otherwise("query").alias("role"))
+
+
 def steps_per_epoch(rows: int, tasks: int, support: int, query: int) -> int:
     return rows // (tasks * (support + query))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import convert, records, repair, text
 from granary.operators import balance, dedup, metrics, near, quality, sampling
-from granary.session import table
+from granary.session import shared_dir, table
 from granary.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,87 @@ def bad_lines_of_parts(spark, sf):
     return rows.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
 
 
+@query("SELECT doc_id, md5(text) AS text_hash, true AS ascii FROM documents")
+def ascii_lines_back(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    lines = _back(spark, "ascii", lambda p: writers.jsonl(d, p, ascii=True), lambda p: spark.read.text(p))
+    rows = lines.select(F.from_json("value", "doc_id bigint, text string").alias("r"), (~F.col("value").rlike(r"[^\x20-\x7E]")).alias("ascii"))
+    return rows.select("r.doc_id", F.md5("r.text").alias("text_hash"), "ascii")
+
+
+@query("SELECT doc_id, md5(text) AS text_hash, 'whole' AS source_name FROM documents")
+def first_source_that_reads(spark, sf):
+    """The first source is not there, the second breaks off in its middle, the third is taken."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    root = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("*"))
+    d.select(F.when(F.col("doc_id") % 100 == 7, F.left(line, F.lit(8))).otherwise(line).alias("value")).write.text(f"{root}/broken")
+    writers.jsonl(d, f"{root}/whole")
+    sources = [(n, f"{root}/{n}") for n in ("missing", "broken", "whole")]
+    name, rows = readers.first_available(spark, *sources, read=lambda p: readers.jsonl(spark, p, "doc_id bigint, text string"))
+    return rows.select("doc_id", F.md5("text").alias("text_hash"), F.lit(name).alias("source_name"))
+
+
+@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'algebra' ELSE 'botany' END AS subject, count(*) AS n FROM documents WHERE doc_id % 3 < 2 GROUP BY 1")
+def subject_shards(spark, sf):
+    """Three shards, of which one can't be read and is left out."""
+    line = F.to_json(F.struct("doc_id", "text"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 3).alias("shard"), F.when(F.col("doc_id") % 3 == 2, F.lit("{")).otherwise(line).alias("value"))
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    d.write.partitionBy("shard").text(root)
+    paths = {"algebra": f"{root}/shard=0", "botany": f"{root}/shard=1", "chemistry": f"{root}/shard=2"}
+    rows = readers.shards(spark, paths, lambda p: readers.jsonl(spark, p, "doc_id bigint, text string"))
+    return rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT coalesce(lang, 'Unknown') AS domain, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM documents GROUP BY 1")
+def cleaned_domains(spark, sf):
+    return quality.cleaned_by_domain(table(spark, sf, "documents"), "lang")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS benchmarks, CAST(count(*) FILTER (n > 0) AS BIGINT) AS succeeded, CAST(count(*) FILTER (n = 0) AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS total_questions FROM (SELECT source, count(*) FILTER (lang = 'fr') AS n FROM documents GROUP BY source UNION ALL SELECT 'never', 0)")
+def manifest_status(spark, sf):
+    """The sources, and one more that gave nothing; those without French documents failed."""
+    d = table(spark, sf, "documents")
+    expected = d.select("source").distinct().unionByName(spark.createDataFrame([("never",)], "source string"))
+    return quality.manifest_status(d.filter("lang = 'fr'"), expected, "source")
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 < 2 THEN concat('answer ', item_id) END AS answer FROM benchmark")
+def aligned_answers(spark, sf):
+    """Batches of three questions with two answers each."""
+    from granary.operators.providers import aligned
+
+    b = table(spark, sf, "benchmark").select("item_id", F.floor(F.col("item_id") / 3).alias("batch"), (F.col("item_id") % 3).alias("pos"))
+    answer = lambda i: F.concat(F.lit("answer "), F.col("batch") * 3 + i)
+    answers = b.select("batch").distinct().withColumn("answers", F.array(answer(0), answer(1)))
+    return aligned(b, answers, ["batch", "pos"], "answers").select("item_id", "answer")
+
+
+@query("SELECT doc_id FROM documents")
+def serializable_rows(spark, sf):
+    return quality.serializable(table(spark, sf, "documents")).select("doc_id")
+
+
+@query("SELECT doc_id, CAST(u.i - 1 AS BIGINT) AS line, md5(string_split(text, chr(10))[u.i]) AS line_hash FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)")
+def lines_of_texts(spark, sf):
+    """A table function: each line of each document as a row."""
+    from granary.operators.providers import table_function
+
+    rows = table_function(table(spark, sf, "documents"), ["doc_id"], "text", lambda t: list(enumerate(t.split("\n"))) if t is not None else [], "line bigint, value string")
+    return rows.select("doc_id", "line", F.md5("value").alias("line_hash"))
+
+
+@query("SELECT lang, CAST(sum(length(text) * length(text)) AS BIGINT) AS squares FROM documents GROUP BY lang")
+def squared_lengths(spark, sf):
+    """An aggregate function of our own: the sum of squared lengths."""
+    from granary.operators.providers import aggregate_function
+
+    rows = table(spark, sf, "documents").select("lang", "text")
+    got = aggregate_function(rows, "lang", "text", lambda v: b"%d" % sum(len(t) ** 2 for t in v if t is not None), lambda a, b: b"%d" % (int(a) + int(b)))
+    return got.select("lang", F.col("state").cast("string").cast("bigint").alias("squares"))
+
+
 # Sampling, splits and batches
 
 #: Below the rows of the larger domains at every scale at hand, so that it binds; the corpus balance itself uses 7500.
@@ -343,6 +424,12 @@ def interleave_order(spark, sf):
     return sampling.interleaved(questions(spark, sf), ["domain", "difficulty"], SEED, "seq").select("seq", big(F.col("rank")).alias("rank"))
 
 
+@query(f"WITH {Q}, r AS (SELECT domain, seq, difficulty AS kind, CASE difficulty WHEN 'easy' THEN 3 ELSE 1 END AS k, row_number() OVER (PARTITION BY domain, difficulty ORDER BY {RANK}, seq) AS rn FROM q) SELECT domain, seq, kind, CASE WHEN rn <= k THEN 'support' ELSE 'query' END AS role FROM r WHERE rn <= 2 * k")
+def support_mix(spark, sf):
+    """Three easy rows to a hard one, in support and query of a task for each domain."""
+    return sampling.mixed_tasks(questions(spark, sf), "domain", F.col("difficulty"), {"easy": 3, "hard": 1}, SEED, "seq")
+
+
 @query(f"WITH {Q}, b AS (SELECT *, seq // 25 AS batch FROM q), n AS (SELECT domain, batch, count(*) AS c FROM b GROUP BY ALL), t AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY domain ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT b.domain, count(*) AS n FROM b JOIN t USING (domain, batch) WHERE before < 60 GROUP BY b.domain")
 def until_target(spark, sf):
     rows = sampling.until_target(questions(spark, sf).withColumn("batch", F.expr("seq div 25")), ["domain"], "batch", 60)
@@ -450,7 +537,7 @@ _DOMAIN = "CASE lang WHEN 'en' THEN 'Summarization' WHEN 'fr' THEN 'Coding' ELSE
     "WHEN ends_with(t, '?') THEN t WHEN m = 'Coding' THEN CASE WHEN length(t) > 200 THEN concat('Write a function that: ', left(t, 200)) ELSE concat('Write: ', t) END ELSE t END) AS question_hash FROM t"
 )
 def question_format(spark, sf):
-    d = table(spark, sf, "documents").filter(F.char_length("text") >= 10)
+    d = table(spark, sf, "documents").filter(quality.long_enough(F.col("text")))
     domain = F.when(F.col("lang") == "en", "Summarization").when(F.col("lang") == "fr", "Coding").otherwise("Math")
     return d.select("doc_id", F.md5(text.as_question(F.col("text"), domain)).alias("question_hash"))
 
@@ -762,7 +849,7 @@ def collated_roles(spark, sf):
 @query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND lower(lang) IN ('en', 'fr') AND source <> ''")
 def complete_questions(spark, sf):
     d = table(spark, sf, "documents")
-    return d.filter((text.strip(F.col("text")) != "") & F.lower("lang").isin("en", "fr") & (F.col("source") != "")).select("doc_id")
+    return d.filter(quality.complete(F.col("text"), F.col("source")) & quality.of_kinds(F.col("lang"), "en", "fr")).select("doc_id")
 
 
 @query("SELECT left(text, 100) AS question, lang AS difficulty, 'no answer' AS error FROM documents WHERE doc_id % 11 = 0")
@@ -770,13 +857,3 @@ def failed_rows(spark, sf):
     from granary.operators.providers import failed
 
     return failed(table(spark, sf, "documents").withColumn("a", F.when(F.col("doc_id") % 11 != 0, "x")), "text", F.col("lang"), "a")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one of our own only in local mode, where the session names none."""
-    import tempfile
-
-    master = spark.sparkContext.master
-    if not spark.conf.get("spark.checkpoint.dir", None) and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")).rstrip("/")

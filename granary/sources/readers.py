@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,17 +78,34 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _readable(spark: SparkSession, path: str, read: Callable[[str], DataFrame]) -> DataFrame | None:
+    """What `read` gives of the path, or None if that is not there or fails somewhere.
+
+    Spark reads late, so a failure in the middle of a file shows only in a pass over all of it, whose rows go nowhere.
+    """
+    if not _exists(spark, path):
+        return None
+    try:
+        rows = read(path)
+        rows.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError):
+        return None
+    return rows
+
+
 def first_available(spark: SparkSession, *sources: tuple[str, str], read: Callable[[str], DataFrame]) -> tuple[str, DataFrame]:
-    """(name, rows) of the first source (name, path) that is there."""
+    """(name, rows) of the first source (name, path) that is there and can be read to its end."""
     for name, path in sources:
-        if _exists(spark, path):
-            return name, read(path)
+        rows = _readable(spark, path, read)
+        if rows is not None:
+            return name, rows
     raise FileNotFoundError(", ".join(p for _, p in sources))
 
 
 def shards(spark: SparkSession, paths: dict[str, str], read: Callable[[str], DataFrame], tag: str = "subject") -> DataFrame:
-    """Rows of all shards that are there, each tagged with its name."""
-    found = [read(p).withColumn(tag, F.lit(name)) for name, p in sorted(paths.items()) if _exists(spark, p)]
+    """Rows of all shards that are there and can be read to their end, each tagged with its name."""
+    tried = [(name, _readable(spark, p, read)) for name, p in sorted(paths.items())]
+    found = [rows.withColumn(tag, F.lit(name)) for name, rows in tried if rows is not None]
     if not found:
         raise FileNotFoundError(", ".join(paths.values()))
     out = found[0]

@@ -7,10 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.text import ascii_json
 
-def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Raw UTF-8, null fields left out."""
-    df.write.mode(mode).json(path)
+
+def jsonl(df: DataFrame, path: str, mode: str = "overwrite", ascii: bool = False) -> None:
+    """Null fields left out; raw UTF-8, or what is not ASCII as escapes."""
+    if ascii:
+        df.select(ascii_json(F.to_json(F.struct("*"))).alias("value")).write.mode(mode).text(path)
+    else:
+        df.write.mode(mode).json(path)
 
 
 def routed(df: DataFrame, path: str, *keys: str, mode: str = "append") -> None:

@@ -234,3 +234,61 @@ def test_links_of_drifting_versions_are_whole(spark, monkeypatch):
         monkeypatch.setattr(links, "MOST", most)
         got = {(r.id, r.leader): r.similarity for r in near.minhash_links(df, "id", "t").collect()}
         assert got == pytest.approx(want)
+
+
+def test_ascii_json_is_as_pythons(spark):
+    from granary.functions.text import ascii_json
+
+    texts = ["plain", "é\n\"q\" \\", "😀 and \x7f", "", "日本 $1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_json(F.to_json(F.struct("t"))).alias("j"))
+    for r in rows.collect():
+        assert r.j.isascii() and "\x7f" not in r.j and json.loads(r.j) == {"t": r.t}
+
+
+def test_functions_of_ones_own(spark):
+    rows = spark.createDataFrame([(2**60 + 1, None), (2**60 + 3, "a b"), (None, "c"), (None, "")], "id bigint, t string")
+    got = providers.table_function(rows, ["id"], "t", lambda t: [(w,) for w in (t or "").split()], "w string")
+    assert sorted((str(r.id), r.w) for r in got.collect()) == [(str(2**60 + 3), "a"), (str(2**60 + 3), "b"), ("None", "c")]
+    count = lambda v: b"%d" % len(v)
+    got = providers.aggregate_function(rows, "id", "t", count, lambda a, b: b"%d" % (int(a) + int(b)))
+    assert {(r.id, int(r.state)) for r in got.collect()} == {(str(2**60 + 1), 1), (str(2**60 + 3), 1), (None, 2)}
+    assert providers.aggregate_function(rows.limit(0), "id", "t", count, lambda a, b: a).count() == 0
+
+
+def test_filters_of_rows(spark):
+    rows = spark.createDataFrame([("x" * 10, " a ", "EASY"), ("short", "a", "hard"), (None, " ", None)], "t string, d string, k string")
+    got = rows.select(quality.long_enough(F.col("t")), quality.complete(F.col("t"), F.col("d")), quality.of_kinds(F.col("k"), "easy")).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, True, False), (False, False, False)]
+    assert quality.serializable(rows).count() == 3
+
+
+def test_mixed_tasks_are_disjoint(spark):
+    rows = spark.createDataFrame([(i, "d", "easy" if i % 2 else "hard") for i in range(40)] + [(99, "few", "hard")], "id bigint, d string, k string")
+    got = sampling.mixed_tasks(rows, "d", F.col("k"), {"easy": 3, "hard": 1}, 1, "id").collect()
+    assert len({r.id for r in got}) == len(got) == 9
+    assert sorted((r.role, r.kind) for r in got if r.d == "d") == [("query", "easy")] * 3 + [("query", "hard")] + [("support", "easy")] * 3 + [("support", "hard")]
+    assert [r.role for r in got if r.d == "few"] == ["support"]
+
+
+def test_a_broken_source_is_passed_over(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": \n')
+    (tmp_path / "good.json").write_text('{"a": 2}\n')
+    paths = {n: str(tmp_path / f"{n}.json") for n in ("bad", "good", "none")}
+    read = lambda p: readers.jsonl(spark, p, "a int")
+    name, rows = readers.first_available(spark, *paths.items(), read=read)
+    assert name == "good" and [r.a for r in rows.collect()] == [2]
+    assert [(r.a, r.subject) for r in readers.shards(spark, paths, read).collect()] == [(2, "good")]
+    with pytest.raises(FileNotFoundError):
+        readers.first_available(spark, ("bad", paths["bad"]), read=read)
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from granary.session import shared_dir
+
+    there = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        shared_dir(there("spark://host:7077", None))
+    assert shared_dir(there("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(there("local[4]", None))
