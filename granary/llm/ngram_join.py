@@ -204,7 +204,8 @@ def _cut(rows: DataFrame, most: int) -> DataFrame:
 
 
 def search_clusters(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of links' components, from rows (cluster, at, g, doc, n, copies, shingles) of which equal (cluster, at) meet.
+    """(a, b) of links' components, from rows (cluster, at, g, doc, n, copies, shingles, blocks, block) of which equal
+    (cluster, at) meet, with the number of blocks that _cut deals each group to, and the own one.
 
     A group that a task can hold is searched at once. A larger one is dealt to blocks, which all get one pivot of the
     group, the text of most copies. What a block brings into the pivot's component needs no search against what another
@@ -222,7 +223,6 @@ def search_clusters(rows: DataFrame, num: int, den: int) -> DataFrame:
     def each(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
-    rows = _cut(rows, MOST_LOAD)
     edges = search(rows.filter("blocks = 1"), ["cluster", "at"])
     large = kept_table(rows.filter("blocks > 1"), "join-large")
     if large.isEmpty():
@@ -261,15 +261,16 @@ def ngram_join(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORD
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), whole(text_col).alias("text"))
     meta = kept_table(_described(rows, words), "join-meta")
     able = meta.filter("n > 0 and doc is not null")
-    classes = kept_table(able.groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "join-classes")
+    classes = kept_table(able.groupBy("sig").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")), "join-classes")
     clusters, scratch = _clusters(rows.filter("doc is not null"), classes, num, den, words)
-    members = kept_table(_members(rows, clusters, classes, words), "join-members")
-    spots = members.select("cluster", F.explode(F.array("g", F.col("g") + 1)).alias("at"), "g", "doc", "n", "copies", "shingles")
-    reached = connected_components(search_clusters(spots, num, den), "join-components").select(F.col("node").alias("rep"), "component")
-    verdict = kept_table(classes.join(reached, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "join-verdict")
-    out = able.join(verdict, "sig").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    spots = kept_table(_spots(clusters, classes), "join-spots")
+    members = kept_table(_members(rows, spots, words), "join-members")
+    dealt = members.select("*", F.explode("spots").alias("s")).select("cluster", "g", "doc", "n", "copies", "shingles", "s.*")
+    reached = connected_components(search_clusters(dealt, num, den), "join-components").select(F.col("node").alias("rep"), "component")
+    verdict = kept_table(classes.join(reached.hint("merge"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "join-verdict")
+    out = able.join(verdict.hint("merge"), "sig").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = meta.filter("n = 0 or doc is null").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
-    free(members, clusters, *scratch)
+    free(members, spots, clusters, classes, *scratch)
     return out.unionByName(alone)
 
 
@@ -299,28 +300,34 @@ def _clusters(rows: DataFrame, classes: DataFrame, num: int, den: int, words: in
     shared = signed.join(counts, "h").groupBy("doc").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("l"))
     shared = shared.withColumn("take", F.size("l") - least + 1).filter("take > 0")
     reps = classes.select(F.col("rep").alias("doc")).distinct()
-    lists = kept_table(shared.select("doc", F.transform(F.slice("l", F.lit(1), F.col("take").cast("int")), lambda x: x["h"]).alias("l")).join(reps, "doc", "left_semi"), "join-lists")
+    lists = kept_table(shared.select("doc", F.transform(F.slice("l", F.lit(1), F.col("take").cast("int")), lambda x: x["h"]).alias("l")).join(reps.hint("merge"), "doc", "left_semi"), "join-lists")
     free(counts)
     entries = lists.select("doc", F.explode("l").alias("h"))
     heads = kept_table(entries.groupBy("h").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "head"), "join-heads")
-    ties = entries.join(heads, "h").select(F.col("doc").alias("a"), F.col("head").alias("b"))
+    ties = entries.join(heads.hint("merge"), "h").select(F.col("doc").alias("a"), F.col("head").alias("b"))
     return kept_table(connected_components(ties, "join-clusters"), "join-clusters"), [lists, heads]
 
 
-def _members(rows: DataFrame, clusters: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """Whole sets of the documents in clusters, each set once: doc, cluster, n, copies, shingles, g (its size's step)."""
+def _spots(clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """sig, doc, cluster, g (its size's step), n, copies of the classes in clusters, and the groups in which they are searched:
+    spots (at, blocks, block). Groups are dealt by these light rows, so that whole sets need no join of their own for it.
+    """
+    of = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.withColumnRenamed("rep", "doc").hint("merge"), "doc")
+    of = of.withColumn("g", F.floor(F.log(SIZE_STEP, F.col("n"))))
+    placed = _cut(of.withColumn("at", F.explode(F.array("g", F.col("g") + 1))), MOST_LOAD)
+    return placed.groupBy("sig", "doc", "cluster", "g", "n", "copies").agg(F.collect_list(F.struct("at", "blocks", "block")).alias("spots"))
+
+
+def _members(rows: DataFrame, spots: DataFrame, words: int) -> DataFrame:
+    """The rows of _spots with the whole set of each, once: bytes, `shingles`."""
 
     def sets_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in few(parts):
             out = [s.tobytes() for s in shingle_sets(p["text"], words)]
-            sig = [hashlib.blake2b(s, digest_size=16).digest() for s in out]
-            yield pd.DataFrame({"doc": p["doc"], "cluster": p["cluster"], "sig": sig, "n": [len(s) // 8 for s in out], "shingles": out})
-
-    of = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    met = sift(rows, "doc", clusters.select("node")).join(of, "doc")
-    sets = met.mapInPandas(frugal(sets_of), "doc bigint, cluster bigint, sig binary, n bigint, shingles binary").filter("n > 0")
-    sets = sets.join(classes.select("sig", F.col("rep").alias("doc"), "copies"), ["sig", "doc"]).dropDuplicates(["sig", "doc"])
-    return sets.select("doc", "cluster", "n", "copies", "shingles", F.floor(F.log(SIZE_STEP, F.col("n"))).alias("g"))
+            yield pd.DataFrame({"doc": p["doc"], "sig": [hashlib.blake2b(s, digest_size=16).digest() for s in out], "shingles": out})
+
+    sets = sift(rows, "doc", spots.select("doc")).mapInPandas(frugal(sets_of), "doc bigint, sig binary, shingles binary")
+    return sets.join(spots.hint("merge"), ["sig", "doc"]).dropDuplicates(["sig", "doc"])
 
 
 def one_of_each_component(docs: DataFrame, num: int = 80, den: int = 100, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
