@@ -137,8 +137,8 @@ def frugal(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) ->
     return run
 
 
-#: Bits of the map of ids by which rows are sifted: 2^26 bits are 2048 rows of 4 KB, whatever the input.
-SIFT_BITS = 1 << 26
+#: Bits of the map of ids by which rows are sifted: 2^26 bits are 2048 rows of 4 KB (MAP_BYTES), whatever the input.
+SIFT_BITS, MAP_BYTES = 1 << 26, 4096
 
 
 def sift(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -151,6 +151,9 @@ def sift(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     maps = ids.select(place(F.col(ids.columns[0])).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_sift_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_sift_map"))
     bit = F.bitmap_bit_position(place(F.col(id_col)))
     byte = F.conv(F.hex(F.substring("_sift_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # Rows for empty parts too, so that what is broadcast has one size for all inputs.
+    every = df.sparkSession.range(SIFT_BITS // (8 * MAP_BYTES) + 1).select(F.col("id").alias("_sift_bucket"))
+    maps = every.join(maps, "_sift_bucket", "left").withColumn("_sift_map", F.coalesce("_sift_map", F.unhex(F.repeat(F.lit("00"), MAP_BYTES))))
     met = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(id_col))) == F.col("_sift_bucket"))
     return met.filter(byte.bitwiseAND(F.expr("cast(1 as int)") * F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0).drop("_sift_bucket", "_sift_map")
 
