@@ -17,8 +17,8 @@ back the very text; the library's own decoder reads the ids in the same way.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from math import log
 from operator import add
 
@@ -31,7 +31,7 @@ from granary.llm.common import id_text, kept_here, whole
 
 SPACE = "▁"
 #: Characters of a word whose ids are kept, and the memory for these in each worker, about.
-KEEP_LENGTH, KEEP_BYTES = 24, 200_000_000
+KEEP_LENGTH, KEEP_BYTES = 24, 130_000_000
 #: Texts encoded at a time, which bounds the lists of ids that are alive together.
 SOME = 200
 #: A byte piece costs as much as a very rare piece, so bytes spell only what nothing else does.
@@ -170,30 +170,31 @@ class PieceCodec:
             self.bytes_of[i] = p.piece.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.known_bytes = 0
         self.inexact = 0  # stretches whose ids do not decode to them; there are none, or an error is at hand
-        self.mark_ids = tuple(self.byte[b] for b in SPACE.encode())
+        self.mark_ids = array("i", (self.byte[b] for b in SPACE.encode())).tobytes()
 
-    def word(self, s: str) -> tuple[int, ...]:
-        """The ids of a word, which starts and ends where all paths meet; so do its parts between known boundaries."""
+    def word(self, s: str) -> bytes:
+        """The ids (32 bits each) of a word, which starts and ends where all paths meet; so do its parts between known boundaries."""
         found = self.known.get(s)
         if found is None:
             pairs = self.pairs
             cuts = [i for i, pair in enumerate(map(add, s, s[1:]), 1) if pair not in pairs]
             if cuts:
-                found = tuple(chain.from_iterable(self.word(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)])))
+                found = b"".join(self.word(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)]))
             else:
                 stream = Stream(self, known_boundaries=False)  # there is none in it
                 stream.feed(s)
-                found = tuple(stream.close())
-                self.inexact += b"".join(map(self.bytes_of.__getitem__, found)).decode().replace(" ", SPACE) != s
+                ids = stream.close()
+                found = array("i", ids).tobytes()
+                self.inexact += b"".join(map(self.bytes_of.__getitem__, ids)).decode().replace(" ", SPACE) != s
             if len(s) <= KEEP_LENGTH:
                 if self.known_bytes > KEEP_BYTES:
                     self.known.clear()
                     self.known_bytes = 0
                 self.known[s] = found
-                self.known_bytes += 220 + 2 * len(s) + 8 * len(found)
+                self.known_bytes += 185 + 2 * len(s) + len(found)
         return found
 
     def words(self, text: str) -> list[str]:
@@ -209,24 +210,27 @@ class PieceCodec:
         return parts
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+        return self.packed(text).tolist()
+
+    def packed(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return np.frombuffer(b"".join(self._parts(text)), np.int32) if text else np.zeros(0, np.int32)
+
+    def _parts(self, text: str) -> list[bytes]:
         if SPACE in text:
-            out: list[int] = []
+            out: list[bytes] = []
             for i, part in enumerate(text.split(SPACE)):
                 if i:
-                    out.extend(self.mark_ids)
+                    out.append(self.mark_ids)
                     body = self.words(part) if part else []
                     if body:
                         body[0] = body[0][1:]  # no space before the text here
-                        out.extend(chain.from_iterable(map(self.word, filter(None, body))))
+                        out.extend(map(self.word, filter(None, body)))
                 else:
-                    out.extend(chain.from_iterable(map(self.word, self.words(part))))
+                    out.extend(map(self.word, self.words(part)))
             return out
-        known, out = self.known, []
-        for w in self.words(text):
-            out.extend(known.get(w) or self.word(w))
-        return out
+        known = self.known
+        return [known.get(w) or self.word(w) for w in self.words(text)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode() if len(ids) else ""
@@ -252,7 +256,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 ids, exact = [], []
                 for t in some["t"]:
                     before = c.inexact
-                    ids.append(np.fromiter(c.encode(t), np.int32))
+                    ids.append(c.packed(t))
                     exact.append(c.inexact == before)
                 yield pd.DataFrame({"doc_id": some["doc_id"].array, "ids": ids, "n_ids": [len(x) for x in ids], "exact": exact})
 
