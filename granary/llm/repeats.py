@@ -2,9 +2,9 @@
 
 1. Anchors. The anchor of a window of LENGTH bytes is its k-gram of least hash, and follows from the window's bytes alone;
    equal windows have equal anchors. Windows that start next to each other mostly share their anchor, and such a run of
-   windows is a segment of LENGTH to LENGTH + 76 bytes. A longer run holds its anchor several times; windows of it that
-   repeat what starts one period earlier (runs of one letter, rulers, tables) are known as repeats at once. Anchors that
-   occur once in the corpus have no other repeated windows.
+   windows is a segment of LENGTH to LENGTH + 76 bytes. A run that holds its anchor several times (runs of one letter, rulers,
+   tables) may repeat itself, however short it is; windows of it that repeat what starts earlier in it are known as
+   repeats at once. Anchors that occur once in the corpus have no other repeated windows.
 2. Segments of the other anchors are gathered by their bytes: equal segments become one, with the place of the first,
    in the map-side part of an aggregation, so a passage of very many copies arrives as one row from each task.
 3. A segment that alone has its anchor is the first of its kind. Those that share an anchor but differ (the ends of a
@@ -111,14 +111,16 @@ def _segments(texts: list[bytes], length: int, k: int) -> Iterator[Found]:
     first, last = np.flatnonzero(opens), np.flatnonzero(shuts)
     hashes = least[first].view(np.int64)
     inner = none.reshape(0, 2)
-    long = np.flatnonzero(last - first >= wanted)
-    if len(long):
-        parts = [_periodic(buf, grams, int(first[i]), int(last[i]), length, wanted) for i in long]
+    # Where a window begins with its anchor and the next one has the same, the anchor comes again within the segment.
+    same = (grams[: len(least) - 1] == least[:-1]) & inside[1:] & ~opens[1:]
+    looped = np.unique(np.searchsorted(first, np.flatnonzero(same), "right")) - 1
+    if len(looped):
+        parts = [_looped(buf, grams, int(first[i]), int(last[i]), length, wanted) for i in looped]
         rest = np.ones(len(first), bool)
-        rest[long] = False
+        rest[looped] = False
         first = np.concatenate([first[rest], *(p[0][:, 0] for p in parts)])
         last = np.concatenate([last[rest], *(p[0][:, 1] for p in parts)])
-        hashes = np.concatenate([hashes[rest], *(np.full(len(p[0]), hashes[i]) for i, p in zip(long, parts))])
+        hashes = np.concatenate([hashes[rest], *(np.full(len(p[0]), hashes[i]) for i, p in zip(looped, parts))])
         order = np.argsort(first, kind="stable")
         first, last, hashes = first[order], last[order], hashes[order]
         inner = np.concatenate([p[1] for p in parts])
@@ -128,10 +130,12 @@ def _segments(texts: list[bytes], length: int, k: int) -> Iterator[Found]:
         yield hashes[a:b], first[a:b] - begin, last[a:b] - begin, inner[c:d] - begin
 
 
-def _periodic(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two lists of (first, last) windows of a run that share an anchor: segments, and stretches of repeats.
+def _looped(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of (first, last) windows of a run that holds its anchor several times: segments, and stretches of repeats.
 
-    The period tried is the commonest distance of the anchor's places. Segments are cut at LONGEST windows.
+    The period tried first is the commonest distance of the anchor's places; windows that repeat others of the run at
+    another distance are found by their hashes and compared by their bytes. So no window of the segments repeats
+    another of the run. Segments are cut at LONGEST windows.
     """
     inside = grams[first : last + wanted]
     steps = np.diff(np.flatnonzero(inside == inside.min()))
@@ -140,6 +144,14 @@ def _periodic(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length:
     repeats = np.zeros(last - first + 1, bool)
     if len(differs) > length:
         repeats[period:] = differs[length:] == differs[:-length]
+    left = np.flatnonzero(~repeats)
+    _, lead, kind = np.unique(_gram_hashes(buf[first : last + length], length)[left], return_index=True, return_inverse=True)
+    before = left[lead[kind]]
+    windows = np.lib.stride_tricks.sliding_window_view(buf[first : last + length], length)
+    again = np.flatnonzero(before < left)
+    for at in range(0, len(again), 4096):
+        some = again[at : at + 4096]
+        repeats[left[some]] = (windows[left[some]] == windows[before[some]]).all(1)
     edge = np.flatnonzero(np.concatenate([[True], repeats[1:] != repeats[:-1], [True]]))
     spans = np.stack([edge[:-1], edge[1:] - 1], 1) + first
     again = repeats[edge[:-1]]

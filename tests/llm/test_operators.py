@@ -465,6 +465,28 @@ def test_repeats_periods_and_repeated_ids(spark, monkeypatch, length):
     assert sorted(x.count(b"q") for x in kept) == [0, 1]
 
 
+@pytest.mark.parametrize("length", [100, 12])
+def test_repeats_in_short_stretches(spark, length):
+    """A document that repeats itself just so, with an anchor that no other has; and two distances in one stretch."""
+    import random
+
+    from granary.llm import repeats
+
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    docs = []
+    for period in range(1, length):
+        unit = noise(period)
+        docs.append((len(docs), noise(rnd.randrange(90)) + (unit * length * 2)[: length + period + rnd.choice([-1, 0, 1, 9])] + noise(rnd.randrange(90))))
+    for _ in range(40):
+        units = [noise(rnd.randrange(length // 4, length * 2 // 3))]
+        units.append(units[0][: length // 3] + noise(rnd.randrange(1, 20)))
+        docs.append((len(docs), noise(30) + "".join(rnd.choice(units) for _ in range(rnd.randrange(2, 14))) + noise(30)))
+    got = by_id(repeats.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), length))
+    for i, (size, removed, spans, digest) in fx.repeats(docs, length).items():
+        assert (got[i].n_bytes, sum(s.end - s.start for s in got[i].spans), len(got[i].spans), hashlib.sha256(bytes(got[i].kept)).hexdigest()) == (size, removed, spans, digest)
+
+
 def test_segments_of_a_very_long_text():
     import resource
     import time
