@@ -185,6 +185,29 @@ def test_micro_batches_with_ledger(spark, tmp_path):
     assert keys() == ["a", "b", "c", "d"]
 
 
+def test_ledger_query_over_files_in_any_order(spark, tmp_path):
+    """Files whose ids decrease, interleave and are null; null and empty texts are keys."""
+    import os
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from granary.plans.catalogue import ORACLES, QUERIES
+
+    batches = [[(7, "a"), (8, "B"), (None, "n"), (9, ""), (21, "only")], [(5, " A"), (6, None), (20, "b\u3000"), (4, "n"), (40, "\nA"), (41, "ΣΑΣ")], [(3, "a"), (30, "A"), (2, " "), (1, None), (None, "null id"), (10, "a"), (39, "σασ")]]
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        doc_id, texts = zip(*rows)
+        pq.write_table(pa.table({"doc_id": pa.array(doc_id, pa.int64()), "text": texts, "lang": ["en"] * len(rows), "source": ["web"] * len(rows), "n_chars": [1] * len(rows)}), folder / f"{9 - i}.parquet")
+        os.utime(folder / f"{9 - i}.parquet", (1000 + i, 1000 + i))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/*.parquet'")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert order(QUERIES["stream_dedup_ledger"](spark, str(tmp_path)).select("seq", "key").collect()) == order(con.execute(ORACLES["stream_dedup_ledger"]).fetchall())
+
+
 def test_streaming_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.n for r in incremental.windowed_counts(df, "ts", "k").collect()) == [1, 2]
