@@ -6,19 +6,27 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions in order of the first `depth` symbols (0 to 256) or more, cyclically, by prefix doubling."""
+    """Start positions in order of the first `depth` symbols (0 to 256) or more, cyclically, by prefix doubling.
+
+    Only suffixes that share their symbols so far with others are sorted again.
+    """
     n = len(symbols)
     key, length = np.zeros(n, np.int64), 7
     for j in range(length):
         key = key * 512 + np.roll(symbols, -j)
+    order, rank = np.argsort(key), np.empty(n, np.int64)
+    tied, at, key = np.arange(n), order, key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        if length >= depth:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]  # the place of the first that ties
+        tied = tied[~(new & np.append(new[1:], True))]
+        if length >= depth or not len(tied):
             return order
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        key = rank * (n + 1) + np.roll(rank, -length)
+        at = order[tied]
+        key = rank[at] * n + rank[(at + length) % n]
+        sort = np.argsort(key)
+        order[tied] = at = at[sort]
+        key = key[sort]
         length *= 2
 
 
@@ -32,8 +40,9 @@ def boundaries(transform: np.ndarray, depth: int) -> np.ndarray:
     first `depth` + 1 symbols only.
     """
     n = len(transform)
+    bits = n.bit_length()  # an interval, a symbol and a place make one number, for n below 2^27
     back = np.empty(n, np.int64)
-    back[np.argsort(transform, kind="stable")] = np.arange(n)  # where the suffix one symbol longer stands
+    back[np.argsort(transform.astype(np.int16), kind="stable")] = np.arange(n)  # where the suffix one symbol longer stands
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
@@ -41,9 +50,10 @@ def boundaries(transform: np.ndarray, depth: int) -> np.ndarray:
     for _ in range(depth):
         size = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        pair = np.repeat(np.arange(len(low)), size) * 512 + transform[at]
-        _, first, count = np.unique(pair, return_index=True, return_counts=True)
-        left = back[at[first]]
+        pair = np.sort(((np.repeat(np.arange(len(low)), size) * 512 + transform[at]) << bits) + at)
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] >> bits != pair[:-1] >> bits]))
+        count = np.diff(first, append=len(pair))
+        left = back[pair[first] & ((1 << bits) - 1)]
         right = left + count
         new = ~known[right]
         if fresh_end:  # intervals that end at n never show a new bound; follow them until they hold one suffix

@@ -145,13 +145,14 @@ def _looped(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length: i
     if len(differs) > length:
         repeats[period:] = differs[length:] == differs[:-length]
     left = np.flatnonzero(~repeats)
-    _, lead, kind = np.unique(_gram_hashes(buf[first : last + length], length)[left], return_index=True, return_inverse=True)
-    before = left[lead[kind]]
-    windows = np.lib.stride_tricks.sliding_window_view(buf[first : last + length], length)
-    again = np.flatnonzero(before < left)
-    for at in range(0, len(again), 4096):
-        some = again[at : at + 4096]
-        repeats[left[some]] = (windows[left[some]] == windows[before[some]]).all(1)
+    if len(steps) > 1 and left[-1] - left[0] >= steps.min():  # else no windows are left that stand at another distance
+        _, lead, kind = np.unique(_gram_hashes(buf[first : last + length], length)[left], return_index=True, return_inverse=True)
+        before = left[lead[kind]]
+        windows = np.lib.stride_tricks.sliding_window_view(buf[first : last + length], length)
+        again = np.flatnonzero(before < left)
+        for at in range(0, len(again), 4096):
+            some = again[at : at + 4096]
+            repeats[left[some]] = (windows[left[some]] == windows[before[some]]).all(1)
     edge = np.flatnonzero(np.concatenate([[True], repeats[1:] != repeats[:-1], [True]]))
     spans = np.stack([edge[:-1], edge[1:] - 1], 1) + first
     again = repeats[edge[:-1]]
@@ -161,14 +162,13 @@ def _looped(buf: np.ndarray, grams: np.ndarray, first: int, last: int, length: i
 
 def search_group(rows: list[tuple], length: int) -> list[tuple]:
     """(doc, t, first, last) ranges of windows that are the first of their kind, from rows (h, seg, doc, t, pos)."""
+    rows = sorted(rows, key=lambda r: r[2:])
     text, start, group = equal_windows([r[1] for r in rows], length)
     docs, keys, places = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
     doc, key, place = docs[text], keys[text], places[text] + start
-    order = np.lexsort((place, key, doc, group))
-    leads = np.ones(len(order), bool)
-    leads[1:] = group[order][1:] != group[order][:-1]
-    first = np.zeros(len(order), bool)
-    first[order[leads]] = True
+    lead = np.full(int(group.max(initial=-1)) + 1, -1)
+    lead[group[::-1]] = np.arange(len(group))[::-1]  # of windows of one group the first is written last
+    first = lead[group] == np.arange(len(group))
     edge = np.ones(len(first) + 1, bool)  # windows are in order of text and start
     edge[1:-1] = (first[1:] != first[:-1]) | (text[1:] != text[:-1])
     cut = np.flatnonzero(edge)
