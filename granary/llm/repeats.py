@@ -30,8 +30,9 @@ from granary.llm.common import free, id_text, kept_table, map_runs, whole
 from granary.llm.shingles import _BASE, _BYTE, _powers, mix
 
 LENGTH, GRAM = 100, 24
-#: Different segments of one anchor that are searched together, at most; bytes of a group; bytes of texts hashed together.
-MOST_SEGMENTS, GROUP_BYTES, CHUNK = 64, 700_000, 1 << 20
+#: Different segments of one anchor that are searched together, at most; bytes of a group; windows of a block of a long text; bytes
+#: of short texts hashed together, few enough for a core's cache.
+MOST_SEGMENTS, GROUP_BYTES, CHUNK, TOGETHER = 64, 700_000, 1 << 20, 1 << 17
 LAST_ID = (1 << 63) - 1
 #: Windows of a segment at most, where its anchor comes again and again.
 LONGEST = 512
@@ -66,7 +67,7 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = GRAM) -> Iterato
             continue
         held.append(t)
         size += len(t)
-        if size >= CHUNK:
+        if size >= TOGETHER:
             yield from _segments(held, length, k)
             held, size = [], 0
     yield from _segments(held, length, k)
@@ -175,16 +176,15 @@ def search_group(rows: list[tuple], length: int) -> list[tuple]:
     return [(int(doc[a]), int(key[a]), int(place[a]), int(place[b - 1])) for a, b in zip(cut[:-1], cut[1:]) if first[a]]
 
 
-def _spans(found: Found, repeated: np.ndarray | None, keep: list | None, size: int, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that a removed window covers."""
+def _spans(found: Found, repeated: np.ndarray | None, keep: np.ndarray | list, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that a removed window covers. keep: (first, last) windows inside the repeated segments."""
     h, first, last, inner = found
     hit = np.isin(h, repeated) if repeated is not None else np.zeros(len(h), bool)
-    windows = np.zeros(size + 2, np.int8)  # a window is in one segment or stretch
-    np.add.at(windows, np.concatenate([first[hit], inner[:, 0]]), 1)
-    np.add.at(windows, np.concatenate([last[hit], inner[:, 1]]) + 1, -1)
+    keep = np.asarray(keep, np.int64).reshape(-1, 2)
+    windows = np.zeros(size + 2, np.int8)  # a window is in one segment or stretch, and in one range that is kept
+    np.add.at(windows, np.concatenate([first[hit], inner[:, 0], keep[:, 1] + 1]), 1)
+    np.add.at(windows, np.concatenate([last[hit] + 1, inner[:, 1] + 1, keep[:, 0]]), -1)
     gone = np.cumsum(windows[:-1], dtype=np.int8).astype(bool)
-    for a, b in keep if keep is not None else []:
-        gone[a : b + 1] = False
     edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
     edge = np.concatenate([[0], edge]) if gone[0] else edge
     spans: list[list[int]] = []
@@ -223,22 +223,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     free(repeated)
 
     def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["h", "seg", "doc", "t", "pos"]
+        def table() -> pd.DataFrame:
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in hashes])
+            doc, t = np.array(ids, np.int64).reshape(-1, 2)[of].T
+            none = [np.zeros(0, np.int64)]
+            return pd.DataFrame({"h": np.concatenate(hashes or none), "seg": segs, "doc": doc, "t": t, "pos": np.concatenate(starts or none)})
+
         for p in parts:
-            out: list[tuple] = []
+            ids, hashes, starts, segs = [], [], [], []
             for doc, t, b, hs, (h, first, last, _) in zip(p["doc"], p["t"], p["b"], p["hs"], segments(p["b"], length, gram)):
                 hit = np.isin(h, hs)
-                for x, i, j in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                    out.append((x, b[i : j + length], doc, t, i))
-                    if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=columns)
-                        out = []
-            yield pd.DataFrame(out, columns=columns)
+                h, first, last = h[hit], first[hit], last[hit]
+                for at in range(0, len(h), 20_000):
+                    some = slice(at, at + 20_000)
+                    ids.append((doc, t))
+                    hashes.append(h[some])
+                    starts.append(first[some])
+                    segs.extend([b[i : j + length] for i, j in zip(first[some].tolist(), last[some].tolist())])
+                    if len(segs) > 20_000:
+                        yield table()
+                        ids, hashes, starts, segs = [], [], [], []
+            yield table()
 
     places = able.select(*key, "b").join(per_doc, key).mapInPandas(gather, "h bigint, seg binary, doc bigint, t bigint, pos bigint")
     firsts = places.groupBy("h", "seg").agg(F.min(F.struct("doc", "t", "pos")).alias("p"))
     firsts = kept_table(firsts.select("h", "seg", "p.doc", "p.t", "p.pos"), "repeats-segments")
-    keep = kept_table(_firsts(firsts, length).groupBy(*key).agg(F.collect_list(F.array("first", "last")).alias("keep")), "repeats-kept")
+    keep = kept_table(_firsts(firsts, length).groupBy(*key).agg(F.collect_list(F.shiftleft("first", 32) + F.col("last")).alias("keep")), "repeats-kept")
     free(firsts)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +257,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 some = p.iloc[at : at + 500]
                 spans, left = [], []
                 for b, hs, keep_, found in zip(some["b"], some["hs"], some["keep"], segments(some["b"], length, gram)):
-                    s = _spans(found, hs, keep_, len(b), length) if hs is not None or len(found[3]) else []
+                    ranges = np.stack([keep_ >> 32, keep_ & 0xFFFFFFFF], 1) if keep_ is not None else []  # a text is below 2 GB
+                    s = _spans(found, hs, ranges, len(b), length) if hs is not None or len(found[3]) else []
                     spans.append([{"start": x, "end": y} for x, y in s])
                     ends = [0, *(v for x in s for v in x), len(b)]
                     left.append(b"".join(b[x:y] for x, y in zip(ends[::2], ends[1::2])) if s else b)
